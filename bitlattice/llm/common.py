@@ -33,7 +33,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executors don't force a recomputation, and later reads prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, suffix_dedup, url_filter, warc
+from . import minhash, mixing, packing, suffix_dedup, toxicity, url_filter, warc
 from .common import read
 
 
@@ -13,6 +13,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "expected_severity", "grade", "toxic", (~F.col("toxic")).alias("kept"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), {"ids_crc32": F.crc32("ids")})
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,6 +53,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op6_mixing": op6_mixing,
     "op9_warc": op9_warc,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, suffix_dedup, toxicity, url_filter, warc
+from . import minhash, mixing, packing, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .common import read
 
 
@@ -38,6 +38,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.compare_with_edits(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op6_mixing": op6_mixing,
+    "op7_winnowing": op7_winnowing,
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

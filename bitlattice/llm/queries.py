@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, suffix_dedup, toxicity, url_filter, warc, winnowing
+from . import minhash, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .common import read
 
 
@@ -34,6 +34,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_winnowing": op7_winnowing,
     "op9_warc": op9_warc,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
+from . import minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .common import read
 
 
@@ -48,6 +48,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_winnowing": op7_winnowing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, sampled_bounds
 from .textbytes import BASE, U, mix, powers
 
 GRAM, WINDOW = 16, 40  # characters of a k-gram, and k-grams in a window
@@ -118,10 +118,8 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
     parts = max(partitions(spark), -(-n // range_rows))
-    share = 20 * parts / max(n, 1)
     ids = rows.select("d")
-    sampled = np.sort(np.array([r["d"] for r in (ids.sample(share, 1) if share < 1 else ids).collect()], dtype=np.int64))
-    bounds = np.unique(sampled[(len(sampled) * np.arange(1, parts)) // parts]) if len(sampled) else sampled
+    bounds = sampled_bounds(ids, "d", parts, n)
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

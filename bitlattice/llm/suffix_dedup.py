@@ -166,20 +166,24 @@ def _runs(repeated: np.ndarray, a: np.ndarray, windows: np.ndarray, keys: np.nda
     return pd.DataFrame({"key": keys[i], "ctx": ctxs[i], "j0": (a[i] - past + 1).astype(np.int32), "j1": (a[i] - first).astype(np.int32), "w1": pd.array([None] * len(i), dtype="Int64"), "w2": pd.array([None] * len(i), dtype="Int64"), "bucket": number})
 
 
-def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        kept, spans = [], []
-        for text, found in zip(batch["text"], batch["found"], strict=True):
-            merged: list[list[int]] = []
-            for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            cuts = [0, *(x for m in merged for x in m), len(text)]
-            kept.append(b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text)
-            spans.append([{"start": s, "end": e} for s, e in merged])
-        yield pd.DataFrame({"kept": kept, "spans": spans}).join(batch.drop(columns=["text", "found"]))
+def _remove(as_text: bool):
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept, spans = [], []
+            for text, found in zip(batch["text"], batch["found"], strict=True):
+                merged: list[list[int]] = []
+                for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(e, merged[-1][1])
+                    else:
+                        merged.append([s, e])
+                cuts = [0, *(x for m in merged for x in m), len(text)]
+                left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                spans.append([{"start": s, "end": e} for s, e in merged])
+            yield pd.DataFrame({"kept": kept, "spans": spans}).join(batch.drop(columns=["text", "found"]))
+
+    return remove
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -218,16 +222,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with two more columns: kept (binary), the text's UTF-8 bytes without each byte that is
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """docs, whose text is replaced by kept (binary, or with as_text a string that leaves out
+    characters of which a part was removed) and spans. kept has the text's UTF-8 bytes without each byte that is
     covered by a string of `length` bytes which also starts anywhere else, in the same document
-    or another; and spans, the maximal removed ranges in order. Strings don't cross documents and
-    are judged on the input.
+    or another; spans are the maximal removed ranges of bytes in order. Strings don't cross
+    documents and are judged on the input.
 
     Null texts count as empty, and texts of fewer than `length` bytes have no such string; their
-    bytes are kept. Documents are told apart by doc_id and text, so null or repeated ids do no
+    bytes are kept (for null text kept is empty, was_null true). Documents are told apart by doc_id and text, so null or repeated ids do no
     harm; repeated rows are repeats of each other and go wholly if long enough. An empty table
-    gives no rows. All columns of docs are returned.
+    gives no rows. All other columns of docs are returned, under whatever names.
     """
     inner = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_th", F.xxhash64("text")).withColumn("_text", F.coalesce("text", F.lit("")).cast("binary"))
     texts = inner.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_text").alias("text"))
@@ -236,5 +241,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rest = [c for c in docs.columns if c != "text"]
     shaped = joined.select(F.col("_text").alias("text"), F.col("_found").alias("found"), *(F.col(c).alias(f"c_{c}") for c in rest), F.col("text").isNull().alias("was_null"))
     fields = ", ".join(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    out = shaped.mapInPandas(_remove, "kept binary, spans array<struct<start:int,end:int>>, " + fields + ", was_null boolean")
+    out = shaped.mapInPandas(_remove(as_text), f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>, " + fields + ", was_null boolean")
     return out.select(*(F.col(f"c_{c}").alias(c) for c in rest), "kept", "spans", "was_null")

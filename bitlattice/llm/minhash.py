@@ -83,67 +83,159 @@ def _features(words: int):
 def _sets(words: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(x or b"", words).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"family": batch["family"], "rep": batch["doc_id"], "s": [shingles(x or b"", words).tobytes() for x in batch["text"]]})
 
     return sets
 
 
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_group(keys: list[str], of_group):
+    """A function for mapInPandas over rows sorted by keys; a group that goes on in the next batch
+    waits for it."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return confirm
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are similar enough. Only the texts of
-    documents in a pair are turned into sets."""
-    pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    sets = cut(sets.mapInPandas(_sets(words), "id long, s binary"), "sets")
-    one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    out = cut(pairs.join(one, "a").join(two, "b").mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
-    drop(pairs, sets)
-    return out
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            marks = rows[keys].to_numpy()
+            bounds = [0, *(np.flatnonzero(np.any(marks[1:] != marks[:-1], axis=1)) + 1).tolist()]
+            out = [of_group(rows.iloc[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)]
+            waiting = rows.iloc[bounds[-1] :]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if waiting is not None and len(waiting):
+            yield of_group(waiting)
 
+    return stream
 
-def _compare(need: int):
-    """Pairs across components with enough equal coordinates, from rows sorted by (key, i, j);
-    a list that goes on in the next batch waits for it."""
 
-    def of_list(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["block"] == rows["i"].iloc[0]]
-        right = rows if rows["i"].iloc[0] == rows["j"].iloc[0] else rows[rows["block"] == rows["j"].iloc[0]]
-        x, y = (np.stack(r["post"].to_numpy()) if len(r) else np.zeros((0, COORDINATES)) for r in (left, right))
+def _blocks_of(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks that a group of rows compares, which may be one and the same."""
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    left = rows[rows["block"] == i]
+    return left, left if i == j else rows[rows["block"] == j]
+
+
+def _across(need: int):
+    """For a posting list's two blocks: a pair with enough collisions for any two families."""
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _blocks_of(rows)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = np.stack(left["post"].to_numpy()), np.stack(right["post"].to_numpy())
         same = np.zeros((len(x), len(y)), dtype=np.uint8)
         for c in range(COORDINATES):
             same += x[:, c, None] == y[None, :, c]
-        a, b, ca, cb = left["rep"].to_numpy(), right["rep"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-        p, q = np.nonzero((same >= need) & (ca[:, None] != cb[None, :]))
-        return pd.DataFrame({"a": np.minimum(a[p], b[q]), "b": np.maximum(a[p], b[q])}).drop_duplicates()
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_rows = None
+        fa, fb = left["family"].to_numpy(), right["family"].to_numpy()
+        p, q = np.nonzero((same >= need) & (fa[:, None] != fb[None, :]))
+        return pd.DataFrame({"a": np.minimum(fa[p], fb[q]), "b": np.maximum(fa[p], fb[q])}).drop_duplicates()
+
+    return across
+
+
+def similar(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of x and y are similar enough, from their exact intersections: products of
+    incidence matrices over the values that both sides have, some thousand values at a time."""
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    vx, vy = np.concatenate(x), np.concatenate(y)
+    values = np.intersect1d(vx, vy)
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+    rx, ry = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    cx, cy = np.searchsorted(values, vx), np.searchsorted(values, vy)
+    for c, v in ((cx, vx), (cy, vy)):
+        c[c == len(values)] = 0
+        c[values[c] != v if len(values) else slice(None)] = -1
+    for at in range(0, len(values), 4096):
+        mx, my = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        for m, r, c in ((mx, rx, cx), (my, ry, cy)):
+            here = (c >= at) & (c < at + 4096)
+            m[r[here], c[here] - at] = 1
+        both += mx @ my.T
+    both = both.astype(np.int64)  # exact: counts below 2**24
+    return 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+
+
+def _exact(percent: int):
+    """For two blocks of a family: links that join the same documents as all links between them."""
+
+    def exact(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _blocks_of(rows)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = ([np.frombuffer(s, dtype=U) for s in side["s"]] for side in (left, right))
+        p, q = np.nonzero(similar(x, y, percent))
+        one, two = left["rep"].to_numpy(), right["rep"].to_numpy()
+        root: dict[int, int] = {}
+
+        def find(n: int) -> int:
+            while root.setdefault(n, n) != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        out = []
+        for a, b in zip(one[p].tolist(), two[q].tolist(), strict=True):
+            if (ra := find(a)) != (rb := find(b)):
+                root[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return exact
+
+
+def _to_head(percent: int):
+    """Whether each member is linked with its family's head, and whether it is near enough to be
+    linked with one that is: Jaccard distances keep the triangle inequality."""
+
+    def to_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch if open_rows is None else pd.concat([open_rows, batch], ignore_index=True)
-            marks = rows[["key", "i", "j"]].to_numpy()
-            at = np.flatnonzero(np.any(marks[1:] != marks[:-1], axis=1)) + 1
-            bounds = [0, *at.tolist()]
-            out = [of_list(rows.iloc[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)]
-            open_rows = rows.iloc[bounds[-1] :]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if open_rows is not None and len(open_rows):
-            yield of_list(open_rows)
+            linked, near = [], []
+            for x, y in zip(batch["s"], batch["head"], strict=True):
+                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                linked.append(100 * both >= percent * union)
+                near.append(100 * both >= (2 * percent - 100) * union)
+            yield pd.DataFrame({"family": batch["family"], "rep": batch["rep"], "linked": linked, "near": near})
+
+    return to_head
 
-    return compare
+
+def confirmed(families: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b): links confirmed on the full sets that connect the same documents as all links
+    between documents of one family. families has (node, component), component the least node.
+
+    Each member is compared with the family's head first. Families with members that aren't
+    linked with it, the rest, are then compared in blocks of BLOCK x BLOCK: the rest with itself,
+    and those of the rest that are near enough with those linked with the head."""
+    spark = docs.sparkSession
+    member = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(member, "doc_id")
+    sets = cut(texts.mapInPandas(_sets(words), "family long, rep long, s binary"), "sets")
+    release(spark)
+    heads = sets.where("rep = family").select("family", F.col("s").alias("head"))
+    judged = cut(sets.where("rep <> family").join(heads, "family").mapInPandas(_to_head(percent), "family long, rep long, linked boolean, near boolean").distinct(), "judged")
+    links = judged.where("linked").select(F.col("family").alias("a"), F.col("rep").alias("b"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rest, near = ~F.col("linked"), ~F.col("linked") & F.col("near")
+    sizes = judged.groupBy("family").agg(count(rest).alias("n_rest"), count(near).alias("n_near"), count(F.col("linked")).alias("n_linked"))
+    sizes = sizes.where("n_rest > 1 OR n_near > 0 AND n_linked > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = judged.join(sizes, "family").withColumn("rest_blocks", blocks("n_rest")).withColumn("linked_blocks", F.when(F.col("n_near") > 0, blocks("n_linked")).otherwise(0))
+    # Blocks of the rest are numbered from 0, those of linked members from -1 down.
+    block = F.when(rest, F.pmod(F.xxhash64("rep"), "rest_blocks").cast("int")).otherwise(-1 - F.pmod(F.xxhash64("rep"), F.greatest("linked_blocks", F.lit(1))).cast("int"))
+    rows = rows.withColumn("block", block)
+    others = F.transform(F.sequence(F.lit(1), "rest_blocks"), lambda k: k - 1)
+    down = F.when(F.col("linked_blocks") > 0, F.transform(F.sequence(F.lit(1), F.greatest("linked_blocks", F.lit(1))), lambda k: -k)).otherwise(F.array().cast("array<int>"))
+    with_linked = F.when(F.col("near"), down).otherwise(F.array().cast("array<int>"))
+    other = F.when(rest, F.concat(others, with_linked)).when(F.col("linked_blocks") > 0, others).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("family", "rep", "block", F.explode(other).alias("other"))
+    rows = rows.select("family", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    keys = ["family", "i", "j"]
+    rows = rows.join(sets.select("rep", "s"), "rep").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    more = rows.mapInPandas(_by_group(keys, _exact(percent)), "a long, b long")
+    out = cut(links.unionByName(more), "links")
+    drop(sets, judged)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
@@ -157,11 +249,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
        coordinates out of k share one of the first k - t + 1, so only that prefix is posted; the
        others are skipped and only compared for the pairs found (t: :func:`needed_matches`).
     3. In each list every document is paired with the least one only: as many pairs as postings,
-       however large the list. Pairs with t collisions are confirmed on the full sets.
-    4. Lists whose documents aren't in one component by then are compared in blocks of BLOCK x
-       BLOCK documents, emitting only pairs across components with t collisions, which are
-       confirmed likewise. So no link is lost for the size of a list, and no list of copies is
-       expanded into pairs.
+       however large the list. Pairs with t collisions make families.
+    4. Lists whose documents aren't in one family by then are compared in blocks of BLOCK x BLOCK
+       documents; two families with a pair of t collisions become one. So documents that could be
+       linked are in one family, whatever the size of a list, and no list is expanded into pairs.
+    5. Links are confirmed on full sets inside the families: see :func:`confirmed`.
 
     Null or empty texts and texts without words have an empty set and are linked with nothing;
     rows without doc_id are linked with nothing and kept; repeated rows are in one component (and
@@ -185,25 +277,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     stars = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda c: posts.select(F.col("rep").alias(c), F.col("post").alias(f"p{c}"))
     equal = F.size(F.filter(F.zip_with("pa", "pb", lambda x, y: x == y), lambda z: z))
-    stars = stars.join(side("b"), "b").join(side("a"), "a").where(equal >= need).select("a", "b")
-    links = confirmed(stars, docs, percent, words)
-    member = cut(connected_components(links), "members")
+    stars = cut(stars.join(side("b"), "b").join(side("a"), "a").where(equal >= need).select("a", "b"), "stars")
+    families = cut(connected_components(stars), "families")
     release(spark)
 
-    comp = shared.join(member.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    comp = cut(comp, "listed")
-    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    listed = shared.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    listed = cut(listed, "listed")
+    mixed = listed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = comp.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    rows = rows.select("key", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(posts, "rep").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rows.mapInPandas(_compare(need), "a long, b long").distinct()
-    more = confirmed(more, docs, percent, words)
-    if not more.isEmpty():
-        edges = links.union(more)
-        member = cut(connected_components(edges), "members")
-    drop(shared, comp, posts)
+    rows = listed.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.select("key", "rep", "family", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", "rep", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    keys = ["key", "i", "j"]
+    rows = rows.join(posts, "rep").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    joined = cut(rows.mapInPandas(_by_group(keys, _across(need)), "a long, b long").distinct(), "joined")
+    if not joined.isEmpty():
+        families = cut(connected_components(families.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joined)), "families")
+    drop(shared, listed, posts, stars, joined)
+    release(spark)
+
+    links = confirmed(families, docs, percent, words)
+    member = cut(connected_components(links), "members")
     release(spark)
 
     out = features.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")

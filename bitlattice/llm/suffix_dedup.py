@@ -25,6 +25,8 @@ BUCKET_BYTES = 8 << 20  # of contexts in a bucket
 
 ANCHORS = "doc long, th long, key long, ctx long, lo int, size int, a int"
 CONTEXTS = "key long, ctx long, copies boolean, a int, bytes binary"
+BEHIND = ", behind binary"  # the gram at the anchor, then the bytes before it, last first
+LCS = ", lcs int"  # at most so many bytes before the anchor are common with another context
 FOUND = "key long, ctx long, j0 int, j1 int, w1 long, w2 long, bucket int"
 _CTX = U(0xD6E8FEB86659FD93)
 
@@ -63,10 +65,17 @@ def _anchor_rows(length: int, gram: int):
     return rows
 
 
-def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = [(p["key"], p["ctx"], p["n"] > 1, p["a"], bytes(text[p["lo"] : p["lo"] + p["size"]])) for text, wanted in zip(batch["text"], batch["wanted"], strict=True) for p in wanted]
-        yield pd.DataFrame(out, columns=["key", "ctx", "copies", "a", "bytes"])
+def _cut_out(gram: int):
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
+                for p in wanted:
+                    data, a = bytes(text[p["lo"] : p["lo"] + p["size"]]), p["a"]
+                    out.append((p["key"], p["ctx"], p["n"] > 1, a, data, data[a : a + gram] + data[:a][::-1]))
+            yield pd.DataFrame(out, columns=["key", "ctx", "copies", "a", "bytes", "behind"])
+
+    return cut_out
 
 
 def multikey_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,15 +120,44 @@ def multikey_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
     return order, lcp
 
 
+def _bucket_rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    parts = list(batches)
+    rows = pd.concat(parts, ignore_index=True).drop_duplicates(["key", "ctx"], ignore_index=True) if parts else None
+    return rows if rows is not None and len(rows) else None
+
+
+def _most(order: np.ndarray, lcp: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each string what it has in common with any other string of all buckets, at most. In
+    sorted order none has more than a neighbour; the first and the last of a bucket may have their
+    nearest neighbour beyond its boundary, and so anything up to their whole length."""
+    near = np.maximum(lcp, np.concatenate((lcp[1:], [0])))
+    near[[0, -1]] = whole[order[[0, -1]]]
+    out = np.empty_like(near)
+    out[order] = near
+    return out
+
+
+def _behind(gram: int):
+    """lcs of each context, from a bucket of contexts in order of what stands before the anchors."""
+
+    def behind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if (rows := _bucket_rows(batches)) is None:
+            return
+        sizes = np.array([len(b) for b in rows["behind"]])
+        buffer = np.frombuffer(b"".join(rows["behind"]) + bytes(8), dtype=np.uint8)
+        lcs = _most(*multikey_sort(buffer, np.cumsum(sizes) - sizes, sizes), sizes) - gram
+        yield rows.drop(columns="behind").assign(lcs=np.maximum(lcs, -1))
+
+    return behind
+
+
 def _bucket(length: int, gram: int):
     """For all contexts of a range partition: runs of repeated strings j0..j1 (places in the
-    context), and, for the first and last group, whose anchors' grams other partitions may have
-    too, each string with two 64-bit hashes."""
+    context), and for the first and last group, whose anchors' grams other partitions may have
+    too, one of each set of equal strings that could be elsewhere, with two 64-bit hashes."""
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["key", "ctx"], ignore_index=True) if parts else None
-        if rows is None or not len(rows):
+        if (rows := _bucket_rows(batches)) is None:
             return
         number = int(rows["part"].iloc[0])
         sizes = np.array([len(b) for b in rows["bytes"]])
@@ -133,25 +171,30 @@ def _bucket(length: int, gram: int):
         rank, back_rank = np.empty_like(order), np.empty_like(order)
         rank[order], back_rank[back_order] = np.arange(len(order)), np.arange(len(order))
         windows = sizes - length + 1
+        fewest, most = length - _most(order, lcp, sizes - a), rows["lcs"].to_numpy()  # bytes before the anchor
+        outer = np.isin(group, group[[0, -1]])[rank]
         repeated = np.zeros((len(rows), length - gram + 1), dtype=bool)
+        asked = []
         for left in range(length - gram + 1):
             j = a - left
-            those = np.flatnonzero((j >= 0) & (j < windows))
-            if len(those) < 2:
+            those = np.flatnonzero((j >= 0) & (j < windows) & (fewest <= left) & (left <= most))
+            if not len(those):
                 continue
             ahead = np.cumsum(lcp < length - left)[rank[those]]
             behind = np.cumsum(back_lcp < left)[back_rank[those]] if left else 0
-            _, which, count = np.unique(ahead * (len(rows) + 1) + behind, return_inverse=True, return_counts=True)
+            _, one, which, count = np.unique(ahead * (len(rows) + 1) + behind, return_index=True, return_inverse=True, return_counts=True)
             repeated[those, left] = count[which] > 1
+            ask = those[one][outer[those[one]]]
+            asked.append(np.stack((ask, a[ask] - left)))
         keys, ctxs = rows["key"].to_numpy(), rows["ctx"].to_numpy()
-        edge = np.flatnonzero((group == 0) | (group == group[-1]))
         yield _runs(repeated, a, windows, keys, ctxs, rows["copies"].to_numpy(), number)
-        for i in order[edge]:
-            at = np.arange(windows[i])
+        who, at = np.concatenate(asked, axis=1) if asked else np.zeros((2, 0), np.int64)
+        by = np.argsort(who, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(who[by])) + 1) if len(by) else ():
+            i, places = who[part[0]], at[part]
             data = buffer[begin[i] : ends[i]]
-            w1 = span_hashes(prefix_sums(data), at, at + length)
-            w2 = span_hashes(prefix_sums(data ^ np.uint8(0x5A)), at, at + length)
-            yield pd.DataFrame({"key": keys[i], "ctx": ctxs[i], "j0": at, "j1": at, "w1": w1.view(np.int64), "w2": w2.view(np.int64), "bucket": number})
+            w1, w2 = (span_hashes(prefix_sums(d), places, places + length) for d in (data, data ^ np.uint8(0x5A)))
+            yield pd.DataFrame({"key": keys[i], "ctx": ctxs[i], "j0": places, "j1": places, "w1": w1.view(np.int64), "w2": w2.view(np.int64), "bucket": number})
 
     return bucket
 
@@ -202,12 +245,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     drop(contexts)
     release(spark)
     of_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "ctx", "n", "lo", "size", "a")).alias("wanted"))
-    pieces = cut(docs.join(of_doc, ["doc", "th"]).select("text", "wanted").mapInPandas(_cut_out, CONTEXTS), "pieces")
+    pieces = cut(docs.join(of_doc, ["doc", "th"]).select("text", "wanted").mapInPandas(_cut_out(gram), CONTEXTS + BEHIND), "pieces")
     release(spark)
     total = wanted.agg(F.sum("size")).first()[0] or 0
-    # Buckets: ranges of the suffixes at anchors, split at sampled ones; ctx splits equal suffixes.
+    n_buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
+    # Buckets are ranges, split at sampled contexts; ctx splits equal strings. First by what stands
+    # before the anchors, to bound what contexts have in common there, then by the suffixes.
+    bounded = pieces.repartitionByRange(n_buckets, "behind", "ctx").mapInPandas(_behind(gram), CONTEXTS + LCS)
+    bounded = cut(bounded, "bounded")
+    drop(pieces)
     suffix = F.expr("substring(bytes, a + 1)")
-    buckets = pieces.repartitionByRange(max(partitions(spark), -(-total // BUCKET_BYTES)), suffix, "ctx").withColumn("part", F.spark_partition_id())
+    buckets = bounded.repartitionByRange(n_buckets, suffix, "ctx").withColumn("part", F.spark_partition_id())
     found = cut(buckets.mapInPandas(_bucket(length, gram), FOUND), "found")
     # Across boundaries: strings of the outer groups that another bucket has as well.
     outer = found.where("w1 IS NOT NULL")
@@ -217,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     hits = all_anchors.join(runs.union(whole), ["key", "ctx"])
     hits = hits.select("doc", "th", (F.col("lo") + F.col("j0")).alias("s"), (F.col("lo") + F.col("j1") + length).alias("e"))
     spans = cut(hits.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("found")), "spans")
-    drop(all_anchors, wanted, whole, pieces, found)
+    drop(all_anchors, wanted, whole, bounded, found)
     release(spark)
     return spans
 

@@ -47,23 +47,15 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found.select(address(F.col("url")).alias("a"), address(to).alias("b")).where("a <> b")
 
 
-def rules_of_hosts(hosts: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(host, rules): for each distinct host, the rules of it and of the domains above it."""
-    spark = hosts.sparkSession
-    rows = F.array(*(F.struct(F.lit(h).alias("domain"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules))
-    table = spark.range(1).select(F.inline(rows))
-    labels = F.split("host", r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    up = hosts.select("host").distinct().select("host", F.explode(up).alias("domain"))
-    hit = up.join(table, "domain").withColumn("rule", F.concat("domain", "path"))
-    return hit.groupBy("host").agg(F.collect_set(F.struct((-F.length("rule")).alias("n"), "verdict", "rule", "path")).alias("rules"))
-
-
 def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """df (with host and path) plus rule and rule_verdict of the longest rule that fits, else null."""
-    fit = F.array_min(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
-    out = df.join(rules_of_hosts(df, rules), "host", "left").withColumn("_fit", fit)
-    return out.withColumn("rule", F.col("_fit.rule")).withColumn("rule_verdict", F.col("_fit.verdict")).drop("rules", "_fit")
+    """df (with host and path) plus rule and rule_verdict of the longest rule that fits, else null.
+    The rules are a list that the caller holds, so they stand in the expression: nothing is joined,
+    and the pages of a common host don't meet."""
+    table = F.array(*(F.struct(F.lit(-len(h + p)).alias("n"), F.lit(v).alias("verdict"), F.lit(h + p).alias("rule"), F.lit(h).alias("domain"), F.lit(p).alias("path")) for h, p, v in rules))
+    host, path = F.col("host"), F.col("path")
+    fits = lambda r: ((host == r["domain"]) | F.endswith(host, F.concat(F.lit("."), r["domain"]))) & F.startswith(path, r["path"])
+    fit = F.array_min(F.filter(table, fits)) if rules else F.lit(None).cast("struct<verdict:string,rule:string>")
+    return df.withColumn("_fit", fit).withColumn("rule", F.col("_fit.rule")).withColumn("rule_verdict", F.col("_fit.verdict")).drop("_fit")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from .common import partitions, sampled_bounds
 from .textbytes import BASE, U, mix, powers
 
 GRAM, WINDOW = 16, 40  # characters of a k-gram, and k-grams in a window
+PIECE_CHARS = 4 << 20  # of texts in a batch of results
 
 MARKED = "doc_id long, text string, fingerprint string, positions array<long>, hashes array<long>"
 EDITED = "doc_id long, n_chars long, edited string, fingerprint string, positions array<long>, edited_fingerprint string, near_edited double, near_next double"
@@ -71,55 +72,57 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return docs.select("doc_id", "text").mapInPandas(mark, MARKED)
 
 
-def edited_texts(texts: list[str]) -> list[str]:
-    """Each text but the last with its last quarter (floor) of characters replaced by as many, or
-    all there are, of the next text's first."""
-    return [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:], strict=False)]
+def edited_text(text: str, after: str) -> str:
+    """text with its last quarter (floor) of characters replaced by as many, or all there are, of
+    the next text's first."""
+    return text[: len(text) - len(text) // 4] + after[: len(text) // 4]
 
 
 def _neighbours(gram: int, window: int):
-    def neighbours(rows: pd.DataFrame) -> pd.DataFrame:
-        """A range of documents with, as guest, the first document of the next range."""
-        rows = rows.sort_values(["guest", "d", "text"], ignore_index=True)
-        n = int((~rows["guest"]).sum())
-        texts = rows["text"].tolist()[: n + 1]
-        marks = [winnow(t, gram, window) for t in texts]
-        edits = edited_texts(texts)
-        again = [winnow(e, gram, window)[0] for e in edits]
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].iloc[:n],
-                "n_chars": [len(t) for t in texts[:n]],
-                "edited": edits,
-                "fingerprint": [as_text(h) for h, _ in marks[:n]],
-                "positions": [p for _, p in marks[:n]],
-                "edited_fingerprint": [as_text(h) for h in again],
-                "near_edited": [likeness(m[0], e) for m, e in zip(marks, again, strict=False)],
-                "near_next": [likeness(m[0], x[0]) for m, x in zip(marks, marks[1:], strict=False)],
-            }
-        )
+    """For ranges of documents in order, each with the first document of the next range behind it
+    as a guest: every document with the one that follows it. Only one document is held."""
+    columns = [x.split()[0] for x in EDITED.split(", ")]
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            out, size = [], 0
+            for part, guest, d, no_id, text in zip(batch["part"], batch["guest"], batch["d"], batch["no_id"], batch["text"], strict=True):
+                mark = winnow(text, gram, window)
+                if last is not None and last[0] == part:
+                    _, own_id, own, (hashes, positions) = last
+                    edited = edited_text(own, text)
+                    again = winnow(edited, gram, window)[0]
+                    out.append((own_id, len(own), edited, as_text(hashes), positions, as_text(again), likeness(hashes, again), likeness(hashes, mark[0])))
+                    size += len(own)
+                last = None if guest else (part, None if no_id else int(d), text, mark)
+                if size > PIECE_CHARS:
+                    yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     return neighbours
 
 
-def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, range_rows: int = 2000) -> DataFrame:
+def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_chars, its edited text, both fingerprints with the positions of the
     first, and how near its fingerprint is to the edited text's and to the next document's.
 
     The next document is the one with the next doc_id, after the last the first. Documents are
-    dealt to ranges of about range_rows ids, split at sampled ids; each range also gets the first
-    document of the next one, so that texts are shuffled once and no window spans the table. Only
-    some ids a range (splitters, first ids) meet in the driver.
+    dealt to as many ranges of ids as there are shuffle partitions, split at sampled ids, and each
+    range also gets the first document of the next one, so that texts are shuffled once and no
+    window spans the table. A range is sorted by Spark, which spills, and read in a stream. Only
+    some ids a partition (splitters, first ids) meet in the driver.
     Null text counts as empty. Rows with null doc_id come first; rows with equal doc_id are in the
     order of their texts. A table of one row is its own next; an empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    parts = max(partitions(spark), -(-n // range_rows))
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("d")
-    bounds = sampled_bounds(ids, "d", parts, n)
+    parts = partitions(spark)
+    bounds = sampled_bounds(ids, "d", parts, rows.count())
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,10 +136,11 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             d = batch["d"].to_numpy()
-            guests = batch[np.isin(d, list(host))] if host else batch.iloc[:0]
-            yield batch.assign(part=np.searchsorted(bounds, d, "right"), guest=False).astype({"doc_id": "Int64"})
+            yield batch.assign(part=np.searchsorted(bounds, d, "right"), guest=False)
+            guests = batch[np.isin(d, list(host))]
             if len(guests):
-                yield guests.assign(part=[host[x] for x in guests["d"]], guest=True).astype({"doc_id": "Int64"})
+                yield guests.assign(part=[host[x] for x in guests["d"]], guest=True)
 
-    dealt = rows.mapInPandas(deal, "doc_id long, d long, text string, part long, guest boolean")
-    return dealt.groupBy("part").applyInPandas(_neighbours(gram, window), EDITED)
+    dealt = rows.mapInPandas(deal, "d long, no_id boolean, text string, part int, guest boolean")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "guest", "d", "text")
+    return dealt.mapInPandas(_neighbours(gram, window), EDITED)

@@ -67,12 +67,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sampled_bounds(ids: DataFrame, column: str, parts: int, n: int):
+def sampled_bounds(ids: DataFrame, column: str, parts: int, n: int, each: int = 20):
     """Up to parts - 1 ascending splitters of a long column of n rows into ranges of like size,
-    from a sample of about 20 values a range; nulls are passed over."""
+    from a sample of about `each` values a range; nulls are passed over."""
     import numpy as np
 
-    share = 20 * parts / max(n, 1)
+    share = each * parts / max(n, 1)
     some = ids.select(column).where(F.col(column).isNotNull())
-    found = np.sort(np.array([r[0] for r in (some.sample(share, 1) if share < 1 else some).collect()], dtype=np.int64))
+    found = np.sort((some.sample(share, 1) if share < 1 else some).toArrow().column(0).to_numpy().astype(np.int64))
     return np.unique(found[(len(found) * np.arange(1, parts)) // parts]) if len(found) else found

@@ -8,7 +8,7 @@ lower order its low bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from .common import cut, drop, release, sampled_bounds
 
 ORDER = 4
 BLOCK_ROWS = 8_000  # documents whose distinct n-grams are looked up together
+CHUNK = 1 << 20  # n-grams that are sorted at once
 QUANTILE = 0.99  # of the trusted documents' perplexities, for each language
 SLACK = 1.5  # times which a document's perplexity may be
 
@@ -37,6 +38,26 @@ def grams(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tally(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all texts, ascending, and their counts; CHUNK n-grams or those of
+    one text are held at a time besides."""
+    keys = counts = np.zeros(0, dtype=np.int64)
+    waiting, size = [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        new, c = np.unique(np.concatenate(waiting), return_counts=True)
+        both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+        return both, np.bincount(at, weights=np.concatenate((counts, c)), minlength=len(both)).astype(np.int64)
+
+    for text in texts:
+        waiting.append(grams(text))
+        size += len(waiting[-1])
+        if size > CHUNK:
+            keys, counts = fold()
+            waiting, size = [], 0
+    return fold() if waiting else (keys, counts)
+
+
 def _blocks(bounds: np.ndarray, ids: pd.Series) -> np.ndarray:
     return np.searchsorted(bounds, ids.astype("Int64").fillna(-(2**63)).to_numpy(dtype=np.int64), "right")
 
@@ -76,8 +97,7 @@ def count_grams(packed: DataFrame, trusted: DataFrame, bounds: np.ndarray) -> Da
 
     def count(texts: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
         wanted = set(ids["doc_id"])
-        found = [grams(t) for row in texts.itertuples() for doc_id, _, t in _unpack(row) if doc_id in wanted]
-        keys, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+        keys, c = tally(t for row in texts.itertuples() for doc_id, _, t in _unpack(row) if doc_id in wanted)
         return pd.DataFrame({"key": keys, "c": c})
 
     ids = trusted.mapInPandas(place, "doc_id long, block long")
@@ -148,9 +168,7 @@ def perplexities(docs: DataFrame, packed: DataFrame, bounds: np.ndarray, model:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, rows in batch.groupby(_blocks(bounds, batch["doc_id"])):
-                found = [grams(t) for t in rows["text"] if t]
-                if found:
-                    yield pd.DataFrame({"block": block, "key": np.unique(np.concatenate(found))})
+                yield pd.DataFrame({"key": tally(t for t in rows["text"] if t)[0]}).assign(block=block)
 
     def rate(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("key")
@@ -183,7 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     spark = docs.sparkSession
     n = docs.count()
-    bounds = sampled_bounds(docs, "doc_id", max(1, -(-n // BLOCK_ROWS)), n)
+    bounds = sampled_bounds(docs, "doc_id", max(1, -(-n // BLOCK_ROWS)), n, 4)
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
     packed = pack_blocks(docs, bounds)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .common import read
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +78,3 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE: dict[str, str] = {}

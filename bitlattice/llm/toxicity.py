@@ -15,6 +15,7 @@ from .common import cut, drop, partitions
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most
 TERMS = 2_000  # features of a model at most
 MIN_DOCS, MIN_G2 = 8, 20.0  # documents that hold a feature, and its log-likelihood ratio, at least
+REJECT = 0.25  # expected severity from which on a document is rejected; of labelled ones, clean texts stay below 0.1
 STRONG = 3  # over-represented terms from which on a marked document counts as severe
 
 _SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -104,10 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic", sample: int = S
     return CumulativeLink({t.encode(): float(w) for (t, _), w in zip(best, weights, strict=True)}, tuple(map(float, cuts)))
 
 
-def score(docs: DataFrame, model: CumulativeLink, reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
     """docs with expected_severity (the sum of P(grade > k)), grade (its rounding) and toxic
-    (expected_severity >= reject). Null and empty texts have no features, and so the model's base
-    severity; they are never toxic. All columns are returned; the model is of bounded size."""
+    (expected_severity >= reject). Null and empty texts have
+    severity 0; they are never toxic. All columns are returned, older ones of these three names
+    replaced; the model is of bounded size."""
+    docs = docs.drop("expected_severity", "grade", "toxic")
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -147,13 +147,12 @@ def judge(docs: DataFrame, field: LinearChain, min_words: int = 50, repeat_perce
     gives no rows; other columns are ignored.
     """
 
-    def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in STATS.split(", ")]
-        for batch in batches:
-            out = pd.DataFrame([text_stats(t, field) for t in batch["text"]], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+    names = [x.split()[0] for x in STATS.split(", ")]
+
+    @F.pandas_udf(STATS)
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_stats(t, field) for t in texts], columns=names)
 
-    out = docs.select("doc_id", "text").mapInPandas(stats, f"doc_id long, {STATS}")
+    out = docs.select("doc_id", stats("text").alias("s")).select("doc_id", "s.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= min_content))

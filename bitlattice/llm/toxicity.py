@@ -107,15 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic", sample: int = S
 
 def score(docs: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
     """docs with expected_severity (the sum of P(grade > k)), grade (its rounding) and toxic
-    (expected_severity >= reject). Null and empty texts have
-    severity 0; they are never toxic. All columns are returned, older ones of these three names
-    replaced; the model is of bounded size."""
-    docs = docs.drop("expected_severity", "grade", "toxic")
+    (expected_severity >= reject). Null and empty texts have severity 0 and are never toxic. All
+    columns are returned, older ones of these three names replaced; only texts go to Python, and
+    the model is of bounded size."""
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(expected_severity=[float(model.above(t).sum()) if t else 0.0 for t in batch["text"]])
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(model.above(t).sum()) if t else 0.0 for t in texts], dtype=float)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInPandas(rate, f"{fields}, expected_severity double")
+    out = docs.drop("expected_severity", "grade", "toxic").withColumn("expected_severity", rate("text"))
     return out.withColumn("grade", F.round("expected_severity").cast("int")).withColumn("toxic", F.col("expected_severity") >= reject)

@@ -1,0 +1,527 @@
+"""The ten operators against brute force, round trips and held-out labels, and on awkward rows."""
+
+import hashlib
+import io
+import math
+import random
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from bitlattice.llm import crf, minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
+from bitlattice.llm.common import read
+from bitlattice.llm.components import connected_components
+from bitlattice.llm.queries import ORACLE, QUERIES, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, key int, `select` string, toxic int, length int, size int, spans int"
+LONG = " ".join(f"w{k % 977}" for k in range(30_000))
+PASSAGE = "".join(chr(97 + (k * k * 7 + k) % 23) + (" " if k % 6 == 5 else "") for k in range(700))
+
+
+def messy(spark, rows=None):
+    rows = rows if rows is not None else [
+        (None, "no id and some words in it", "en", "a"),
+        (None, None, None, None),
+        (1, None, "en", "a"),
+        (2, "", "en", None),
+        (3, " \t\n\r\v\f ", "en", "a"),
+        (4, "one two", None, "b"),
+        (5, LONG, "en", "a"),
+        (6, LONG, "en", "a"),
+        (7, "é🐥ü " * 3 + PASSAGE + " tail", "de", "b"),
+        (8, "head " + PASSAGE, "de", "b"),
+        (9, "a b c d e f g", "en", "c"),
+        (9, "a b c d e f g", "en", "c"),
+        (2**62, "x" * 5000, "en", "c"),
+    ]
+    return spark.createDataFrame([(*r, len(r[1] or ""), "r", 1, "s", 7, 8, 9, 10) for r in rows], DOCS)
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+def ids(rows):
+    return sorted(((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows))
+
+
+# -- queries with SQL
+
+
+@pytest.mark.parametrize("name", ORACLE)
+def test_oracle(spark, sf, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.execute(ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+# -- op1
+
+
+def test_redirects_spread_verdicts(spark):
+    page = lambda k, url, to=None, how="canonical": (k, url, None if to is None else f'<link rel="canonical" href="{to}">' if how == "canonical" else f'<meta http-equiv="refresh" content="0; url={to}">', "x")
+    rows = [
+        page(0, "http://a.ex.net/x"),
+        page(1, "http://plain.com/1", "http://A.EX.net/x#top"),
+        page(2, "http://plain.com/2", "/1", "refresh"),
+        page(3, "http://plain.com/3", "//example.net/en/z"),
+        page(4, "http://www.example.net/en/z", "http://plain.com/3"),
+        page(5, "http://plain.com/3x", "http://b.net/q"),
+        page(6, "http://example.net/en/y", "http://b.net/q"),
+        page(7, None, "http://b.net/q"),
+        page(8, "nothing"),
+        page(9, "http://ok.com"),
+        page(9, "http://ok.com"),
+        page(10, "http://Sub.EXAMPLE.com/de/a?x=/fr/", None),
+        page(11, "http://notexample.com/de/a", None),
+        page(12, "ftp://w.org/fr/a"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages).collect()}
+    verdict = {k: r["verdict"] for k, r in got.items()}
+    assert [verdict[k] for k in range(13)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block", "allow", "allow"]
+    assert got[1]["component"] == got[2]["component"] and (got[7]["host"], got[7]["path"], got[7]["rule"]) == ("", "", None)
+    assert got[10]["host"] == "sub.example.com" and got[10]["rule"] == "example.com/de/" and got[12]["rule"] == "org/fr/"
+    assert url_filter.filter_urls(pages).count() == len(rows)
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules=()).collect()} == {"allow"}
+
+
+def test_url_filter_is_native(spark, sf):
+    assert "Python" not in QUERIES["op1_url_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(None, 3), (5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
+
+
+# -- op2
+
+
+def test_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    docs, marks = read(spark, d, "documents"), read(spark, d, "labels")
+    known = marks.where("doc_id % 2 = 0")
+    out = toxicity.score(docs, toxicity.fit(docs, known)).select("doc_id", "expected_severity", F.col("toxic").alias("found")).join(marks.where("doc_id % 2 = 1"), "doc_id").collect()
+    clean, bad = [r for r in out if not r["toxic"]], [r for r in out if r["toxic"]]
+    assert sum(r["found"] for r in clean) <= 0.01 * len(clean)
+    assert sum(r["found"] for r in bad) >= 0.8 * len(bad)
+    assert np.mean([r["expected_severity"] for r in bad]) > 10 * np.mean([r["expected_severity"] for r in clean])
+
+
+def test_cumulative_link_recovers_order():
+    rng = np.random.default_rng(1)
+    rows = [list(np.flatnonzero(rng.random(4) < 0.5)) for _ in range(3000)]
+    score = np.array([sum((2.0, -1.0, 0.5, 0.0)[k] for k in r) for r in rows]) + rng.logistic(size=3000)
+    weights, cuts = toxicity.fit_cumulative_link(rows, (score > 0.5).astype(int) + (score > 2), 4, 3)
+    assert np.allclose(weights, (2, -1, 0.5, 0), atol=0.4) and np.allclose(cuts, (0.5, 2), atol=0.4)
+
+
+def test_toxicity_edges(spark):
+    docs = messy(spark)
+    model = toxicity.fit(docs, labels(spark, [(4, 1, 0), (None, 1, 1), (9, 1, None)]))
+    out = toxicity.score(docs, model)
+    assert out.count() == docs.count() and not out.where("toxic").count() and set(docs.columns) <= set(out.columns)
+    model = toxicity.CumulativeLink({b"x": 9.0}, (1.0, 2.0))
+    assert toxicity.score(messy(spark, [(2**60 + 1, "X!", None, None), (None, None, None, None)]), model).where("toxic").first()["doc_id"] == 2**60 + 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# -- op3
+
+
+def test_encoder_equals_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    encode, rng = packing.Encoder(tokenizer_path()), random.Random(3)
+    parts = [*"abc ABC '0123\t\n\r\v\x00.,!?#éßñ中文🐥²ª", "  ", "\n\n", " the", "'ll", "<|endoftext|>", " ", "　"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert np.frombuffer(packing.Encoder(path)("Some Words."), "<u4").tolist() == Tokenizer.from_file(path).encode("Some Words.", add_special_tokens=False).ids
+
+
+def check_packing(rows, capacity=1024):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(spark):
+    docs = messy(spark)
+    rows = packing.pack_documents(docs, tokenizer_path()).collect()
+    n = check_packing(rows)
+    lengths = np.array([r["length"] for r in rows])
+    assert packing.lower_bound(lengths) <= n <= packing.lower_bound(lengths) + 1
+    encode = packing.Encoder(tokenizer_path())
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r)
+    for doc_id, text in ((5, LONG), (4, "one two"), (2, ""), (1, "")):
+        pieces = sorted(got[doc_id], key=lambda r: r["piece"])
+        assert b"".join(p["ids"] for p in pieces) == encode(text) + np.array([2], "<u4").tobytes()
+        assert [p["start"] for p in pieces] == [0, *np.cumsum([p["length"] for p in pieces])[:-1]]
+        assert all(p["length"] == 1024 for p in pieces[1:])
+    assert len(got[9]) == 2 and len(got[2**62]) >= 1
+    assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_lower_bound_and_exchange(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(packing, "PART_ITEMS", 200)
+    lengths = rng.integers(1, 1025, 4000)
+    items = spark.createDataFrame([(k, int(x)) for k, x in enumerate(lengths)], "item long, length long")
+    length = dict(enumerate(lengths.tolist()))
+    count = lambda rounds: check_packing([{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": length[r["item"]]} for r in packing.pack(items, rounds=rounds).collect()])
+    least, one, four = packing.lower_bound(lengths), count(0), count(4)
+    together = len(packing.best_fit_decreasing(lengths)[2])
+    assert least <= four < one and four <= 1.005 * together
+    assert packing.lower_bound(np.array([600] * 5)) == 5 and packing.lower_bound(np.array([400] * 5)) == 3 and packing.lower_bound(np.array([], dtype=int)) == 0
+
+
+# -- op4
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(400)]
+    texts = []
+    for _ in range(14):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 160))]
+        texts += [" ".join(base), " ".join(base).upper()]
+        for _ in range(rng.randint(0, 6)):
+            other = list(base)
+            for _ in range(rng.randint(1, 4)):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            texts.append("  ".join(other))
+    rng.shuffle(texts)
+    return [(k, t, None, None) for k, t in enumerate(texts)]
+
+
+def shingle_set(text):
+    w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize(("percent", "block"), [(85, 1024), (80, 3)])
+def test_near_duplicates(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = near_copies(percent)
+    sets = [shingle_set(t) for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    got = minhash.near_duplicates(messy(spark, rows), percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {k: (len(sets[k]), root[k], root[k] == k) for k in range(len(rows))}
+    assert len(set(root)) < len(rows)
+
+
+def test_near_duplicate_edges(spark):
+    docs = messy(spark)
+    got = minhash.near_duplicates(docs).collect()
+    assert ids(got) == ids(docs.collect())
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by[6]["component_id"] == 5 and not by[6]["kept"] and by[5]["kept"]
+    assert by[1]["n_shingles"] == by[2]["n_shingles"] == by[3]["n_shingles"] == 0 and by[3]["component_id"] == 3 and by[4]["n_shingles"] == 1
+    assert all(r["kept"] for r in got if r["doc_id"] in (None, 1, 2, 3, 4, 9))
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+# -- op5
+
+
+def brute_rules(text):
+    words = (text or "").encode().split()
+    windows = defaultdict(list)
+    for k in range(len(words) - 2):
+        windows[tuple(words[k : k + 3])].append(k)
+    inside = {k + j for at in windows.values() if len(at) > 1 for k in at for j in range(3)}
+    lines = (text or "").split("\n")
+    dup = sum(bool(x.strip(" \t\n\v\f\r")) and x in lines[:k] for k, x in enumerate(lines))
+    return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(inside)
+
+
+def test_quality_rules(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(messy(spark).select("doc_id", "text")).unionByName(spark.createDataFrame([(10**6, "a b c a b c a\n \n \n | x #\n | x #")], "doc_id long, text string"))
+    field = quality_rules.train(docs, read(spark, sf, "labels"))
+    got = quality_rules.judge(docs, field).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"]].append(r["text"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert ids(got) == sorted((k is not None, k or 0) for k, v in texts.items() for _ in v)
+    for r in got:
+        n = tuple(r[c] for c in names)
+        assert n in [brute_rules(t) for t in texts[r["doc_id"]]]
+        assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        assert r["kept"] == (not r["base_failed"] and r["content_share"] >= 0.5)
+    assert quality_rules.judge(docs.limit(0), quality_rules.train(docs.limit(0), labels(spark))).count() == 0
+
+
+def test_viterbi_and_fit():
+    rng = random.Random(4)
+    field = crf.LinearChain(np.array([[rng.gauss(0, 1) for _ in range(2)] for _ in range(3)]), np.array([[1.0, -1.0], [-0.5, 0.5]]))
+    for _ in range(50):
+        masks = [rng.randrange(8) for _ in range(rng.randint(1, 8))]
+        value = lambda y: sum(field.scores(m)[v] for m, v in zip(masks, y, strict=True)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        best = max(value([k >> j & 1 for j in range(len(masks))]) for k in range(2 ** len(masks)))
+        assert math.isclose(value(field.viterbi(masks)), best)
+    truth = [[int(rng.random() < 0.5) for _ in range(12)] for _ in range(80)]
+    seen = [[1 << (v if rng.random() < 0.9 else 1 - v) for v in y] for y in truth]
+    got = crf.fit(seen, truth, 2)
+    assert sum(a == b for s, y in zip(seen, truth, strict=True) for a, b in zip(got.viterbi(s), y, strict=True)) > 0.85 * 80 * 12
+
+
+def test_quality_against_labels(spark):
+    d = "/root/testdata/sf0.01"
+    docs, marks = read(spark, d, "documents"), read(spark, d, "labels")
+    field = quality_rules.train(docs, marks.where("doc_id % 2 = 0"))
+    rows = quality_rules.judge(docs, field).where("NOT base_failed").join(marks.where("doc_id % 2 = 1"), "doc_id").collect()
+    good, poor = [r for r in rows if r["quality"]], [r for r in rows if not r["quality"]]
+    assert sum(r["kept"] for r in good) >= 0.95 * len(good) and sum(r["kept"] for r in poor) <= 0.3 * len(poor)
+
+
+# -- op6
+
+
+def test_mixing(spark):
+    docs = messy(spark)
+    rows = mixing.mix(docs).collect()
+    assert ids(rows) == ids(docs.collect())
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+        assert r["taken"] <= 2 * r["size"] and r["copies"] - r["epochs"] in (0, 1)
+    for group in by.values():
+        assert abs(sum(r["taken"] for r in group) - group[0]["target"]) <= max(r["size"] for r in group)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_prefers_quality(spark):
+    docs = spark.createDataFrame([(k, ("# " if k % 2 else "w ") * 10, "a") for k in range(2000)] + [(k, "w " * 10, "b") for k in range(2000, 9000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, weights=(1.0, 9.0)).where("source = 'a'").collect()
+    best = sum(r["taken"] for r in rows if r["doc_id"] % 2 == 0)
+    assert best > 1.3 * sum(r["taken"] for r in rows if r["doc_id"] % 2)
+
+
+# -- op7
+
+
+def test_winnow_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))
+        h, p = winnowing.winnow(text, 4, 6)
+        k = min(4, len(text))
+        grams = [winnowing.winnow(text[j : j + k], 4, 6)[0][0] for j in range(len(text) - k + 1)] if text else []
+        w = min(6, len(grams))
+        want = sorted({min(range(j, j + w), key=lambda x: (grams[x], -x)) for j in range(len(grams) - w + 1)}) if grams else []
+        assert p.tolist() == want and h.tolist() == [grams[x] for x in want]
+
+
+def test_fingerprints(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(messy(spark).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10**9).dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = {r["doc_id"]: r for r in winnowing.compare_with_edits(docs).collect()}
+    assert len(got) == len(rows)
+    for (k, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        r, edited = got[k], text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        own, other, following = (winnowing.winnow(t)[0] for t in (text, edited, after))
+        assert (r["n_chars"], r["edited"]) == (len(text), edited)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (winnowing.as_text(own), winnowing.as_text(other))
+        assert math.isclose(r["near_edited"], winnowing.likeness(own, other)) and math.isclose(r["near_next"], winnowing.likeness(own, following))
+        assert len(r["positions"]) == len(own)
+
+
+def test_fingerprint_edges(spark):
+    docs = messy(spark)
+    assert ids(winnowing.compare_with_edits(docs).collect()) == ids(docs.collect())
+    assert winnowing.compare_with_edits(docs.limit(0)).count() == 0
+    one = winnowing.compare_with_edits(messy(spark, [(5, "abcdefgh", None, None)])).first()
+    assert one["edited"] == "abcdefab" and one["near_next"] == 1.0
+
+
+# -- op8
+
+
+def test_kneser_ney_sums_to_one(spark):
+    texts = ["abracadabra", "abrac", "cadab"]
+    keys, c = ngram.tally(texts)
+    model = ngram.kneser_ney(spark.createDataFrame(list(zip(keys.tolist(), c.tolist(), strict=True)), "key long, c long"))
+    for context in ("abr", "zzz", "cab"):
+        asked = [int(ngram.grams(context + chr(97 + k))[-1]) for k in range(26)] + [int(ngram.grams(context + "?")[-1])]
+        logp = {r["key"]: r["logp"] for r in model.log_probabilities(spark.createDataFrame([(k,) for k in asked], "key long")).collect()}
+        unseen = sum(math.exp(v) for k, v in logp.items())
+        seen = {x for t in texts for x in t}
+        total = sum(math.exp(logp[int(ngram.grams(context + x)[-1])]) for x in seen) + math.exp(logp[asked[-1]])
+        assert 0.999 < total < 1.001 and unseen >= total
+
+
+def test_tally(monkeypatch):
+    monkeypatch.setattr(ngram, "CHUNK", 10)
+    texts = ["hello world", "", "hello", "🐥 and more of it"]
+    keys, c = ngram.tally(texts)
+    want = np.unique(np.concatenate([ngram.grams(t) for t in texts]), return_counts=True)
+    assert keys.tolist() == want[0].tolist() and c.tolist() == want[1].tolist()
+
+
+def test_classifier_against_labels(spark):
+    d = "/root/testdata/sf0.01"
+    rows = ngram.classify(read(spark, d, "documents"), read(spark, d, "labels").where("doc_id % 2 = 0")).join(read(spark, d, "labels").where("doc_id % 2 = 1"), "doc_id").collect()
+    good, poor = [r for r in rows if r["quality"]], [r for r in rows if not r["quality"]]
+    assert sum(r["kept"] for r in good) >= 0.95 * len(good) and sum(r["kept"] for r in poor) <= 0.4 * len(poor)
+
+
+def test_classifier_edges(spark):
+    docs = messy(spark)
+    got = ngram.classify(docs, labels(spark, [(k, 1, 0) for k in (4, 5, 7, 8, 9)] + [(None, 1, 0)])).collect()
+    assert ids(got) == ids(docs.collect())
+    assert all(r["perplexity"] is None and not r["kept"] for r in got if r["doc_id"] in (1, 2))
+    assert len({r["perplexity"] for r in got if r["doc_id"] == 9}) == 1
+    assert ngram.classify(docs, labels(spark)).count() == docs.count()
+    assert ngram.classify(docs.limit(0), labels(spark)).count() == 0
+
+
+# -- op9
+
+
+def test_warc_ranges():
+    rng = random.Random(8)
+    bodies = [rng.randbytes(rng.randint(0, 3000)) for _ in range(40)] + [b"WARC/1.1\r\n\r\n" + warc.MAGIC * 50, b""]
+    data = b"".join(warc.encode_record(k, f"http://x/{k}", b, None) for k, b in enumerate(bodies))
+    for step in (100, 1777, 10**6):
+        found = [(f["warc-record-id"], body) for s in range(0, len(data), step) for _, f, body in warc.read_range(io.BytesIO(data), s, s + step)]
+        assert found == [(f"<{warc.record_id(k)}>", b) for k, b in enumerate(bodies)]
+    damaged = data[:50] + data[60:]
+    assert len(list(warc.read_range(io.BytesIO(damaged), 0, len(damaged)))) == len(bodies) - 1
+
+
+def test_warc_round_trip(spark):
+    rows = [(0, "http://a", "same"), (1, None, "same"), (2, "x\r\ny", ""), (3, "b", None), (4, "c", "é" * 400_000), (2**60, "d", "same"), (7, "e", "own")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    got = {int(r["record_id"].rpartition(":")[2]): r for r in warc.read_archives(spark, warc.write_archives(pages), 700).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    last = {"same": 2**60, "": 3}
+    for k, _, html in rows:
+        payload, r = (html or "").encode(), got[k]
+        first = last.get(html or "", k)
+        assert (r["record_type"], r["payload_bytes"], r["payload_digest"]) == ("response" if first == k else "revisit", len(payload), warc.b32_sha1(payload))
+        assert r["refers_to"] == (None if first == k else warc.record_id(first))
+        assert (bytes(r["payload"]) == payload and r["verified"]) if first == k else r["payload"] is None
+    assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
+    assert not any(r["refers_to"] for r in warc.read_archives(spark, warc.write_archives(pages, min_revisit_bytes=5)).collect())
+
+
+# -- op10
+
+
+def brute_repeats(texts, length):
+    seen = defaultdict(list)
+    for d, t in enumerate(texts):
+        for k in range(len(t) - length + 1):
+            seen[t[k : k + length]].append((d, k))
+    gone = [np.zeros(len(t), dtype=bool) for t in texts]
+    for at in seen.values():
+        if len(at) > 1:
+            for d, k in at:
+                gone[d][k : k + length] = True
+    return gone
+
+
+@pytest.mark.parametrize(("seed", "length", "gram", "bucket"), [(0, 40, 8, 1 << 23), (1, 40, 8, 300), (2, 64, 32, 1000)])
+def test_suffix_dedup(spark, monkeypatch, seed, length, gram, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("ab é") for _ in range(rng.randint(20, 150))) for _ in range(12)]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choice("xyz ü") for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 6))) for _ in range(70)] + ["z" * 300, "ab" * 200, ""]
+    gone = brute_repeats([t.encode() for t in texts], length)
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length, gram).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data, mask = np.frombuffer(texts[r["doc_id"]].encode(), dtype=np.uint8), gone[r["doc_id"]]
+        assert bytes(r["kept"]) == data[~mask].tobytes()
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0]))))
+        assert [(s["start"], s["end"]) for s in r["spans"]] == list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    assert any(g.any() for g in gone)
+
+
+def test_suffix_sort():
+    rng = random.Random(9)
+    strings = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [b"", b"\0" * 8, b"\0" * 9]
+    sizes = np.array([len(s) for s in strings])
+    order, lcp = suffix_dedup.multikey_sort(np.frombuffer(b"".join(strings) + bytes(8), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    ranked = [strings[k] for k in order]
+    assert ranked == sorted(strings)
+    for k in range(1, len(ranked)):
+        a, b = ranked[k - 1], ranked[k]
+        assert lcp[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+def test_suffix_dedup_edges(spark):
+    docs = messy(spark)
+    out = suffix_dedup.remove_repeats(docs)
+    rows = out.collect()
+    assert ids(rows) == ids(docs.collect()) and set(docs.columns) - {"text"} <= set(out.columns)
+    by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert not by[5]["kept"] and not by[6]["kept"] and bytes(by[4]["kept"]) == b"one two" and not by[2**62]["kept"]
+    assert bytes(by[7]["kept"]).decode() == "é🐥ü " * 3 + " tail" or bytes(by[7]["kept"]).decode().startswith("é🐥ü é")
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    texts = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, as_text=True).collect()}
+    assert texts[4] == "one two"
+
+
+# -- contract columns of the queries without SQL
+
+
+def test_query_columns(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in read(spark, sf, "documents").collect()}
+    for r in QUERIES["op10_suffix_dedup"](spark, sf).collect():
+        assert r["n_bytes"] == len(docs[r["doc_id"]].encode())
+        if not r["n_removed"]:
+            assert r["kept_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() and r["n_spans"] == 0
+    assert QUERIES["op7_winnowing"](spark, sf).columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert QUERIES["op3_packing"](spark, sf).dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]

@@ -160,11 +160,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 4) -> DataFra
     placed = cut(packed.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
     base = parts
     for turn in range(rounds):
-        open_parts = placed.where("gap > 0").select("part").distinct().count()
+        free = F.expr(f"gap > 0 AND fill < {capacity}")
+        open_parts = placed.where(free).select("part").distinct().count()
         if not open_parts:
             break
         groups = max(1, open_parts // FAN)
-        free = F.expr(f"gap > 0 AND fill < {capacity}")
         again = placed.where(free).withColumn("group", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)) + base)
         again = again.groupBy("group").applyInPandas(_pack(capacity), PLACED)
         new = cut(placed.where(~free).unionByName(again), "packed")

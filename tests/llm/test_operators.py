@@ -214,7 +214,10 @@ def test_lower_bound_and_exchange(spark, monkeypatch):
     count = lambda rounds: check_packing([{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": length[r["item"]]} for r in packing.pack(items, rounds=rounds).collect()])
     least, one, four = packing.lower_bound(lengths), count(0), count(4)
     together = len(packing.best_fit_decreasing(lengths)[2])
-    assert least <= four <= one and four <= 1.01 * together
+    # Each of the small partitions is certified by itself, so their sum is a little above a joint packing.
+    assert least <= four <= one and four <= 1.02 * together
+    monkeypatch.undo()
+    assert least <= count(4) <= 1.005 * together
     assert packing.lower_bound(np.array([600] * 5)) == 5 and packing.lower_bound(np.array([400] * 5)) == 3 and packing.lower_bound(np.array([], dtype=int)) == 0
 
 

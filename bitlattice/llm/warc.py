@@ -28,15 +28,16 @@ WRITTEN = "path string, bytes long, records long"
 RECORD = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary, verified boolean"
 
 
-def record_id(page_id: int) -> str:
-    return f"urn:page:{page_id}"
+def record_id(page_id: int | str | None) -> str:
+    """Of a page; rows without page_id have one that ends in a colon."""
+    return f"urn:page:{'' if page_id is None else page_id}"
 
 
 def b32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def encode_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, level: int = 6) -> bytes:
+def encode_record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None, level: int = 6) -> bytes:
     """One gzip member. A revisit has no payload, but the digest and length of the full one."""
     head = [
         "WARC/1.1",
@@ -126,10 +127,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     the largest page_id is written as response and the others as revisits of it.
 
     Payloads are compared by SHA-1; only page ids and digests are grouped, so that a payload which
-    many pages share is one pre-aggregated row, and the html is joined by page_id alone. Files
+    many pages share is one pre-aggregated row, and the html is joined by page_id and digest. Files
     are written under a name of the task attempt and renamed, so a repeated task does no harm.
     Null html is an empty payload; null urls are left out of the header; rows with a page_id that
-    occurs twice are written twice; an empty table writes no file.
+    occurs twice are written twice, and those of equal page_id and payload alike; rows without
+    page_id are written as responses; an empty table writes no file.
     """
     from pyarrow import fs
 
@@ -141,19 +143,21 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     ids = pages.select("page_id", F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("n"))
     ids = ids.where(F.col("n") >= min_revisit_bytes).select("page_id", "digest")
     first = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisit = ids.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    rows = pages.select("page_id", "url", html.alias("html")).join(revisit, "page_id", "left").repartition(partitions(spark), "page_id")
+    revisit = ids.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    rows = pages.select("page_id", F.unhex(F.sha1(html)).alias("digest"), "url", html.alias("html")).join(revisit, ["page_id", "digest"], "left").repartition(partitions(spark), "page_id")
+    # As strings, as a null would turn the integers of its batch into doubles in pandas.
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = name = None
         size = records = 0
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"].astype("Int64"), strict=True):
+            for page_id, url, payload, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}"
                     out = store.open_output_stream(f"{root}/.{name}.part")
-                data = encode_record(int(page_id), url, bytes(payload), None if pd.isna(refers_to) else int(refers_to), level)
+                data = encode_record(page_id, url, bytes(payload), refers_to, level)
                 out.write(data)
                 size, records = size + len(data), records + 1
         if out is not None:

@@ -210,23 +210,22 @@ def _runs(repeated: np.ndarray, a: np.ndarray, windows: np.ndarray, keys: np.nda
 
 
 def _remove(as_text: bool):
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept, spans = [], []
-            for text, found in zip(batch["text"], batch["found"], strict=True):
-                merged: list[list[int]] = []
-                for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(e, merged[-1][1])
-                    else:
-                        merged.append([s, e])
-                cuts = [0, *(x for m in merged for x in m), len(text)]
-                left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
-                kept.append(left.decode("utf-8", "ignore") if as_text else left)
-                spans.append([{"start": s, "end": e} for s, e in merged])
-            yield pd.DataFrame({"kept": kept, "spans": spans}).join(batch.drop(columns=["text", "found"]))
-
-    return remove
+    def remove(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        kept, spans = [], []
+        for text, found in zip(texts, ranges, strict=True):
+            merged: list[list[int]] = []
+            for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(e, merged[-1][1])
+                else:
+                    merged.append([s, e])
+            cuts = [0, *(x for m in merged for x in m), len(text)]
+            left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            spans.append([{"start": s, "end": e} for s, e in merged])
+        return pd.DataFrame({"kept": kept, "spans": spans})
+
+    return F.pandas_udf(remove, f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -280,14 +279,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
     Null texts count as empty, and texts of fewer than `length` bytes have no such string; their
     bytes are kept (for null text kept is empty, was_null true). Documents are told apart by doc_id and text, so null or repeated ids do no
     harm; repeated rows are repeats of each other and go wholly if long enough. An empty table
-    gives no rows. All other columns of docs are returned, under whatever names.
+    gives no rows. All other columns of docs are returned, under whatever names,
+    but for older ones named kept, spans or was_null, which these replace.
     """
-    inner = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_th", F.xxhash64("text")).withColumn("_text", F.coalesce("text", F.lit("")).cast("binary"))
-    texts = inner.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_text").alias("text"))
-    spans = repeated_spans(texts, length, gram).withColumnsRenamed({"doc": "_doc", "th": "_th", "found": "_found"})
-    joined = inner.join(spans, ["_doc", "_th"], "left")
-    rest = [c for c in docs.columns if c != "text"]
-    shaped = joined.select(F.col("_text").alias("text"), F.col("_found").alias("found"), *(F.col(c).alias(f"c_{c}") for c in rest), F.col("text").isNull().alias("was_null"))
-    fields = ", ".join(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    out = shaped.mapInPandas(_remove(as_text), f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>, " + fields + ", was_null boolean")
-    return out.select(*(F.col(f"c_{c}").alias(c) for c in rest), "kept", "spans", "was_null")
+    rest = [c for c in docs.columns if c not in ("text", "kept", "spans", "was_null")]
+    inner = docs.select(
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"),
+        F.xxhash64("text").alias("th"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+        F.col("text").isNull().alias("was_null"),
+        *(F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(rest)),
+    )
+    spans = repeated_spans(inner.select("doc", "th", "text"), length, gram)
+    # Only texts and ranges go to Python; all other columns stay as they are.
+    out = inner.join(spans, ["doc", "th"], "left").withColumn("out", _remove(as_text)("text", "found"))
+    return out.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(rest)), "out.kept", "out.spans", "was_null")

@@ -20,12 +20,14 @@ from .common import cut, drop, release, sampled_bounds
 
 ORDER = 4
 BLOCK_ROWS = 8_000  # documents whose distinct n-grams are looked up together
+BLOCK_BYTES = 64 << 20  # of their texts on average, at most
 CHUNK = 1 << 20  # n-grams that are sorted at once
 QUANTILE = 0.99  # of the trusted documents' perplexities, for each language
 SLACK = 1.5  # times which a document's perplexity may be
 
-PACKED = "block long, ids array<long>, langs array<string>, sizes array<int>, data binary"
-SCORED = "doc_id long, lang string, perplexity double"
+# Ids pass through pandas as strings, as a null would turn the integers of its batch into doubles.
+PACKED = "block long, ids array<string>, langs array<string>, sizes array<int>, data binary"
+SCORED = "doc_id string, lang string, perplexity double"
 
 
 def grams(text: str) -> np.ndarray:
@@ -59,7 +61,7 @@ def tally(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(bounds: np.ndarray, ids: pd.Series) -> np.ndarray:
-    return np.searchsorted(bounds, ids.astype("Int64").fillna(-(2**63)).to_numpy(dtype=np.int64), "right")
+    return np.searchsorted(bounds, np.array([-(2**63) if i is None else int(i) for i in ids], dtype=np.int64), "right")
 
 
 def pack_blocks(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -72,14 +74,13 @@ def pack_blocks(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
             out = []
             for block, rows in batch.groupby(_blocks(bounds, batch["doc_id"])):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
-                ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
-                out.append((block, ids, rows["lang"].tolist(), [len(t) for t in texts], zstandard.compress(b"".join(texts), 3)))
+                out.append((block, rows["doc_id"].tolist(), rows["lang"].tolist(), [len(t) for t in texts], zstandard.compress(b"".join(texts), 3)))
             yield pd.DataFrame(out, columns=["block", "ids", "langs", "sizes", "data"])
 
-    return docs.select("doc_id", "lang", "text").mapInPandas(packed, PACKED)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInPandas(packed, PACKED)
 
 
-def _unpack(row: tuple) -> Iterator[tuple[int | None, str | None, str]]:
+def _unpack(row: tuple) -> Iterator[tuple[str | None, str | None, str]]:
     import zstandard
 
     data, at = zstandard.decompress(row.data), 0
@@ -100,7 +101,7 @@ def count_grams(packed: DataFrame, trusted: DataFrame, bounds: np.ndarray) -> Da
         keys, c = tally(t for row in texts.itertuples() for doc_id, _, t in _unpack(row) if doc_id in wanted)
         return pd.DataFrame({"key": keys, "c": c})
 
-    ids = trusted.mapInPandas(place, "doc_id long, block long")
+    ids = trusted.select(F.col("doc_id").cast("string").alias("doc_id")).mapInPandas(place, "doc_id string, block long")
     counts = packed.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(count, "key long, c long")
     return counts.groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -177,12 +178,12 @@ def perplexities(docs: DataFrame, packed: DataFrame, bounds: np.ndarray, model:
         for row in texts.itertuples():
             for doc_id, lang, text in _unpack(row):
                 out.append((doc_id, lang, float(np.exp(-logp[np.searchsorted(keys, grams(text))].mean())) if text else None))
-        return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity"])
 
-    asked = cut(docs.select("doc_id", "text").mapInPandas(ask, "block long, key long").distinct(), "asked")
+    asked = cut(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(ask, "block long, key long").distinct(), "asked")
     known = cut(model.log_probabilities(asked.select("key").distinct()), "known")
     answers = asked.join(known, "key").select("block", "key", "logp")
-    scored = cut(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(rate, SCORED), "scored")
+    scored = cut(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(rate, SCORED).withColumn("doc_id", F.col("doc_id").cast("long")), "scored")
     drop(asked, known)
     return scored
 
@@ -200,8 +201,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    n = docs.count()
-    bounds = sampled_bounds(docs, "doc_id", max(1, -(-n // BLOCK_ROWS)), n, 4)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bounds = sampled_bounds(docs, "doc_id", max(1, -(-n // BLOCK_ROWS), -(-size // BLOCK_BYTES)), n, 4)
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
     packed = pack_blocks(docs, bounds)

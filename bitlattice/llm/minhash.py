@@ -262,8 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     """
     spark = docs.sparkSession
     need = needed_matches(percent)
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    features = cut(base.mapInPandas(_features(words), "doc_id long, n_shingles long, d1 long, d2 long, post array<long>"), "features")
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    features = base.mapInPandas(_features(words), "doc_id string, n_shingles long, d1 long, d2 long, post array<long>")
+    features = cut(features.withColumn("doc_id", F.col("doc_id").cast("long")), "features")
     groups = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     groups = cut(groups, "groups")
     posts = features.select(F.col("doc_id").alias("rep"), "post").join(groups.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])

@@ -17,7 +17,8 @@ CAPACITY, END = 1024, 2
 PART_ITEMS = 20_000  # items packed in one task in the first round
 FAN = 4  # partitions whose documents are exchanged with each other
 
-PIECE = "doc_id long, piece int, start long, length long, ids binary"
+# Ids pass through pandas as strings, as a null would turn the integers of its batch into doubles.
+PIECE = "doc_id string, piece int, start long, length long, ids binary"
 # Fixed value: how byte-level vocabularies of this kind split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -82,9 +83,10 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     out += [(doc_id, k, s, e - s, ids[4 * s : 4 * e]) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECE)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(pieces, PIECE)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

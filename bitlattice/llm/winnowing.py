@@ -16,8 +16,9 @@ from .textbytes import BASE, U, mix, powers
 GRAM, WINDOW = 16, 40  # characters of a k-gram, and k-grams in a window
 PIECE_CHARS = 4 << 20  # of texts in a batch of results
 
-MARKED = "doc_id long, text string, fingerprint string, positions array<long>, hashes array<long>"
-EDITED = "doc_id long, n_chars long, edited string, fingerprint string, positions array<long>, edited_fingerprint string, near_edited double, near_next double"
+# Ids pass through pandas as strings, as a null would turn the integers of its batch into doubles.
+MARKED = "doc_id string, text string, fingerprint string, positions array<long>, hashes array<long>"
+EDITED = "doc_id string, n_chars long, edited string, fingerprint string, positions array<long>, edited_fingerprint string, near_edited double, near_next double"
 
 
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,8 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
             got = [winnow(t, gram, window) for t in texts]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "fingerprint": [as_text(h) for h, _ in got], "positions": [p for _, p in got], "hashes": [h for h, _ in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(mark, MARKED)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(mark, MARKED)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def edited_text(text: str, after: str) -> str:
@@ -95,12 +97,12 @@ def _neighbours(gram: int, window: int):
                     again = winnow(edited, gram, window)[0]
                     out.append((own_id, len(own), edited, as_text(hashes), positions, as_text(again), likeness(hashes, again), likeness(hashes, mark[0])))
                     size += len(own)
-                last = None if guest else (part, None if no_id else int(d), text, mark)
+                last = None if guest else (part, None if no_id else str(d), text, mark)
                 if size > PIECE_CHARS:
-                    yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out, columns=columns)
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=columns)
 
     return neighbours
 
@@ -143,4 +145,4 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
 
     dealt = rows.mapInPandas(deal, "d long, no_id boolean, text string, part int, guest boolean")
     dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "guest", "d", "text")
-    return dealt.mapInPandas(_neighbours(gram, window), EDITED)
+    return dealt.mapInPandas(_neighbours(gram, window), EDITED).withColumn("doc_id", F.col("doc_id").cast("long"))

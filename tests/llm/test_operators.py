@@ -21,6 +21,20 @@ LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 PASSAGE = "".join(chr(97 + (k * k * 7 + k) % 23) + (" " if k % 6 == 5 else "") for k in range(700))
 
 
+@pytest.mark.parametrize("name", ["features", "pieces", "fingerprints", "edits", "classifier"])
+def test_ids_beside_nulls(spark, name):
+    """Ids that doubles can't hold survive in a batch with a null id."""
+    docs = messy(spark, [(None, "a b c d e f", "en", "a"), (2**62 + 1, "some other words here", "en", "a"), (7, None, None, None)]).coalesce(1)
+    run = {
+        "features": minhash.near_duplicates,
+        "pieces": lambda d: packing.pack_documents(d, tokenizer_path()),
+        "fingerprints": winnowing.fingerprints,
+        "edits": winnowing.compare_with_edits,
+        "classifier": lambda d: ngram.classify(d, labels(spark, [(2**62 + 1, 1, 0), (7, 1, 0)])),
+    }[name]
+    assert ids(run(docs).collect()) == ids(docs.collect())
+
+
 def messy(spark, rows=None):
     rows = rows if rows is not None else [
         (None, "no id and some words in it", "en", "a"),
@@ -35,7 +49,7 @@ def messy(spark, rows=None):
         (8, "head " + PASSAGE, "de", "b"),
         (9, "a b c d e f g", "en", "c"),
         (9, "a b c d e f g", "en", "c"),
-        (2**62, "x" * 5000, "en", "c"),
+        (2**62 + 1, "x" * 5000, "en", "c"),
     ]
     return spark.createDataFrame([(*r, len(r[1] or ""), "r", 1, "s", 7, 8, 9, 10) for r in rows], DOCS)
 
@@ -201,7 +215,7 @@ def test_packing(spark):
         assert b"".join(p["ids"] for p in pieces) == encode(text) + np.array([2], "<u4").tobytes()
         assert [p["start"] for p in pieces] == [0, *np.cumsum([p["length"] for p in pieces])[:-1]]
         assert all(p["length"] == 1024 for p in pieces[1:])
-    assert len(got[9]) == 2 and len(got[2**62]) >= 1
+    assert len(got[9]) == 2 and len(got[2**62 + 1]) >= 1
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
@@ -444,11 +458,11 @@ def test_warc_ranges():
 
 
 def test_warc_round_trip(spark):
-    rows = [(0, "http://a", "same"), (1, None, "same"), (2, "x\r\ny", ""), (3, "b", None), (4, "c", "é" * 400_000), (2**60, "d", "same"), (7, "e", "own")]
+    rows = [(0, "http://a", "same"), (1, None, "same"), (2, "x\r\ny", ""), (3, "b", None), (4, "c", "é" * 400_000), (2**60 + 1, "d", "same"), (7, "e", "own")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     got = {int(r["record_id"].rpartition(":")[2]): r for r in warc.read_archives(spark, warc.write_archives(pages), 700).collect()}
     assert got.keys() == {r[0] for r in rows}
-    last = {"same": 2**60, "": 3}
+    last = {"same": 2**60 + 1, "": 3}
     for k, _, html in rows:
         payload, r = (html or "").encode(), got[k]
         first = last.get(html or "", k)
@@ -459,6 +473,16 @@ def test_warc_round_trip(spark):
     assert not any(r["refers_to"] for r in warc.read_archives(spark, warc.write_archives(pages, min_revisit_bytes=5)).collect())
 
 
+def test_warc_without_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (1, "a"), (1, "b"), (1, "c"), (2**60 + 1, "a"), (2**60 + 1, "a")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").coalesce(1)
+    got = sorted((r["record_id"], r["payload_digest"], r["record_type"], r["refers_to"] or "") for r in warc.read_archives(spark, warc.write_archives(pages)).collect())
+    a, b, c = (warc.b32_sha1(x) for x in (b"a", b"b", b"c"))
+    none, one, last = (warc.record_id(k) for k in (None, 1, 2**60 + 1))
+    want = [(none, a, "response", ""), (none, b, "response", ""), (one, a, "revisit", last), (one, b, "response", ""), (one, c, "response", ""), (last, a, "response", ""), (last, a, "response", "")]
+    assert got == sorted(want)
+
+
 # -- op10
 
 
@@ -492,6 +516,14 @@ def test_suffix_dedup(spark, monkeypatch, seed, length, gram, bucket):
     assert any(g.any() for g in gone)
 
 
+def test_suffix_dedup_keeps_columns(spark):
+    rows = [(None, PASSAGE, None, 1), (2**62 + 1, PASSAGE, 2**61 + 1, 2), (3, None, 4, 3)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, doc long, kept int").coalesce(1))
+    assert out.columns == ["doc_id", "doc", "kept", "spans", "was_null"]
+    got = sorted(((r["doc_id"], r["doc"], len(r["kept"]), r["was_null"]) for r in out.collect()), key=str)
+    assert got == [(3, 4, 0, True), (2**62 + 1, 2**61 + 1, 0, False), (None, None, 0, False)]
+
+
 def test_suffix_sort():
     rng = random.Random(9)
     strings = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [b"", b"\0" * 8, b"\0" * 9]
@@ -510,7 +542,7 @@ def test_suffix_dedup_edges(spark):
     rows = out.collect()
     assert ids(rows) == ids(docs.collect()) and set(docs.columns) - {"text"} <= set(out.columns)
     by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
-    assert not by[5]["kept"] and not by[6]["kept"] and bytes(by[4]["kept"]) == b"one two" and not by[2**62]["kept"]
+    assert not by[5]["kept"] and not by[6]["kept"] and bytes(by[4]["kept"]) == b"one two" and not by[2**62 + 1]["kept"]
     assert bytes(by[7]["kept"]).decode() == "é🐥ü " * 3 + " tail" or bytes(by[7]["kept"]).decode().startswith("é🐥ü é")
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
     texts = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, as_text=True).collect()}

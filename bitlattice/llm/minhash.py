@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
        others are skipped and only compared for the pairs found (t: :func:`needed_matches`).
     3. In each list every document is paired with the least one only: as many pairs as postings,
        however large the list. Pairs with t collisions make families.
-    4. Lists whose documents aren't in one family by then are compared in blocks of BLOCK x BLOCK
+    4. In lists whose documents aren't in one family by then, those outside the list's largest
+       family are compared with each other and with that family, in blocks of BLOCK x BLOCK
        documents; two families with a pair of t collisions become one. So documents that could be
        linked are in one family, whatever the size of a list, and no list is expanded into pairs.
     5. Links are confirmed on full sets inside the families: see :func:`confirmed`.
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     posts = cut(posts, "posts")
 
     listed = posts.select("rep", F.explode(F.slice("post", 1, COORDINATES - need + 1)).alias("key"))
-    heads = listed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head", "n")
+    heads = listed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = cut(listed.join(heads, "key"), "postings")
     release(spark)
 
@@ -284,10 +285,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
 
     listed = shared.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     listed = cut(listed, "listed")
-    mixed = listed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = listed.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    rows = rows.select("key", "rep", "family", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    per_family = listed.groupBy("key", "family").agg(F.count("*").alias("c"))
+    mixed = per_family.groupBy("key").agg(F.max(F.struct("c", "family")).alias("most"), F.sum("c").alias("n")).where("n > most.c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("most.family").alias("main"), blocks(F.col("most.c")).alias("main_blocks"), blocks(F.col("n") - F.col("most.c")).alias("rest_blocks"))
+    # Blocks of the rest are numbered from 0, those of the largest family from -1 down.
+    rows, rest = listed.join(mixed, "key"), F.col("family") != F.col("main")
+    block = F.when(rest, F.pmod(F.xxhash64("rep"), "rest_blocks")).otherwise(-1 - F.pmod(F.xxhash64("rep"), "main_blocks")).cast("int")
+    with_rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    other = F.when(rest, F.concat(with_rest, F.sequence(F.lit(-1), -F.col("main_blocks"), F.lit(-1)))).otherwise(with_rest)
+    rows = rows.select("key", "rep", "family", block.alias("block"), other.alias("others"))
+    rows = rows.select("key", "rep", "family", "block", F.explode("others").alias("other"))
     rows = rows.select("key", "rep", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     keys = ["key", "i", "j"]
     rows = rows.join(posts, "rep").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import cut, drop, partitions, release
 from .textbytes import U, mix, prefix_sums, span_hashes
@@ -210,22 +211,23 @@ def _runs(repeated: np.ndarray, a: np.ndarray, windows: np.ndarray, keys: np.nda
 
 
 def _remove(as_text: bool):
-    def remove(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-        kept, spans = [], []
-        for text, found in zip(texts, ranges, strict=True):
-            merged: list[list[int]] = []
-            for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            cuts = [0, *(x for m in merged for x in m), len(text)]
-            left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
-            kept.append(left.decode("utf-8", "ignore") if as_text else left)
-            spans.append([{"start": s, "end": e} for s, e in merged])
-        return pd.DataFrame({"kept": kept, "spans": spans})
-
-    return F.pandas_udf(remove, f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept, spans = [], []
+            for text, found in zip(batch["text"], batch["found"], strict=True):
+                merged: list[list[int]] = []
+                for s, e in sorted((f["s"], f["e"]) for f in (found if found is not None else ())):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(e, merged[-1][1])
+                    else:
+                        merged.append([s, e])
+                cuts = [0, *(x for m in merged for x in m), len(text)]
+                left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                spans.append([{"start": s, "end": e} for s, e in merged])
+            yield pd.DataFrame({"kept": kept, "spans": spans}).join(batch.drop(columns=["text", "found"]))
+
+    return remove
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -291,6 +293,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
         *(F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(rest)),
     )
     spans = repeated_spans(inner.select("doc", "th", "text"), length, gram)
-    # Only texts and ranges go to Python; all other columns stay as they are.
-    out = inner.join(spans, ["doc", "th"], "left").withColumn("out", _remove(as_text)("text", "found"))
-    return out.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(rest)), "out.kept", "out.spans", "was_null")
+    # Integers pass through pandas as strings, as a null would turn those of its batch into doubles.
+    kinds = {c: docs.schema[c].dataType for c in rest}
+    whole = {c for c in rest if isinstance(kinds[c], IntegralType)}
+    rows = inner.join(spans, ["doc", "th"], "left")
+    shaped = rows.select("text", "found", *(F.col(f"c_{k}").cast("string").alias(f"c_{k}") if c in whole else f"c_{k}" for k, c in enumerate(rest)), "was_null")
+    fields = ", ".join(f"c_{k} {'string' if c in whole else kinds[c].simpleString()}" for k, c in enumerate(rest))
+    out = shaped.mapInPandas(_remove(as_text), f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>, {fields}, was_null boolean")
+    return out.select(*(F.col(f"c_{k}").cast(kinds[c]).alias(c) for k, c in enumerate(rest)), "kept", "spans", "was_null")

@@ -7,6 +7,8 @@ with a third of all rows is never in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,9 @@ def source_targets(items: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return per.select("source", "source_size", F.when(F.col("c") <= F.col("w") * F.coalesce(level, F.col("c") / F.col("w")), F.col("c")).otherwise(F.col("w") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = None, seed: int = 17, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, epochs, picked, copies, taken.
+def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = None, seed: int = 17, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, row: Sequence[str] = ()) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, epochs, picked, copies, taken, and
+    the columns `row`, which tell rows of equal doc_id apart.
 
     A source's target is so many complete epochs and a rest. Every document is taken once for each
     epoch; for the rest, documents are drawn without replacement with probability by quality
@@ -66,15 +69,15 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     at most, unless it is smaller than that.
 
     Null text has size 0; null sources are a source of their own; repeated rows are documents of
-    their own (equal keys, any order); an empty table gives no rows. Reruns agree: u hangs on
+    their own (equal keys, in the order of `row`, else any); an empty table gives no rows. Reruns agree: u hangs on
     doc_id and seed alone. Other columns are ignored.
     """
     spark = docs.sparkSession
     weight = quality_weight(F.col("text")) if weight is None else weight
     size = n_words(F.col("text")) if size is None else size
-    items = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(seed, F.col("doc_id"))) / weight).alias("key"))
+    items = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(seed, F.col("doc_id"))) / weight).alias("key"), *row)
     items = cut(items, "mix-items")
-    runs = items.repartitionByRange(partitions(spark), F.asc_nulls_last("source"), "key", "doc_id").withColumn("run", F.spark_partition_id())
+    runs = items.repartitionByRange(partitions(spark), F.asc_nulls_last("source"), "key", "doc_id", *row).withColumn("run", F.spark_partition_id())
     runs = cut(runs, "mix-runs")
     targets = source_targets(items, weights, share, cap)
     totals = runs.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
@@ -83,8 +86,8 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     plan = totals.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.source", "r.run", "r.before", "t.source_size", "t.target")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    inside = F.sum("size").over(Window.partitionBy("source", "run").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("size").over(Window.partitionBy("source", "run").orderBy("key", "doc_id", *row).rowsBetween(Window.unboundedPreceding, 0))
     out = runs.withColumn("upto", inside).alias("d").join(plan.alias("p"), F.expr("d.run = p.run AND d.source <=> p.source"))
     picked = (F.col("before") + F.col("upto") - F.col("size") / 2) < F.col("rest")
-    out = out.select("d.doc_id", "d.source", "size", "source_size", "target", "epochs", picked.alias("picked"))
+    out = out.select("d.doc_id", "d.source", "size", "source_size", "target", "epochs", picked.alias("picked"), *row)
     return out.withColumn("copies", F.col("epochs") + F.col("picked").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))

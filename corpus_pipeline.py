@@ -43,10 +43,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(f"d.{c}" for c in COLUMNS))
+    """Each row as many times as the mix takes it, which may be never. Rows are numbered, as doc_id
+    may be null or repeated."""
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mix-rows")
+    copies = mixing.mix(rows, row=["row"]).select("row", "copies")
+    taken = F.array_repeat(F.lit(1), F.col("copies").cast("int"))  # sequence(1, 0) would count down
+    return rows.join(copies, "row").withColumn("copy", F.explode(taken)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

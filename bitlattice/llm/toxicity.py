@@ -14,8 +14,10 @@ from .common import cut, drop, partitions
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most
 TERMS = 2_000  # features of a model at most
-MIN_DOCS, MIN_G2 = 8, 20.0  # documents that hold a feature, and its log-likelihood ratio, at least
+MIN_DOCS, MIN_G2 = 2, 6.0  # documents that hold a feature, and its log-likelihood ratio, at least
+PRIOR = 1.0  # precision of the normal prior of a weight, which shrinks those of rare words most
 REJECT = 0.25  # expected severity from which on a document is rejected; of labelled ones, clean texts stay below 0.1
+EVIDENCE = 3.0  # times that a text's words raise the odds of a grade, at least, for it to be rejected
 STRONG = 3  # over-represented terms from which on a marked document counts as severe
 
 _SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -36,7 +38,10 @@ class CumulativeLink:
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        score = sum(map(self.weights.__getitem__, words(text) & self.weights.keys()))
+        return self.above_at(sum(map(self.weights.__getitem__, words(text) & self.weights.keys())))
+
+    def above_at(self, score: float) -> np.ndarray:
+        """P(grade > k) for each threshold k of a text whose words have weights of that sum."""
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts) - score, -50, 50)))
 
 
@@ -72,7 +77,8 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic", sample: int = S
     labels (doc_id, mark) only mark documents, so the grades are derived: 0 unmarked; of marked
     ones 2 (severe) if they hold STRONG or more of the over-represented terms, else 1. Terms are
     the `terms` words with the largest log-likelihood ratio between marked and unmarked texts,
-    counted once for texts that are equal. Null ids, marks and texts are passed over. Without
+    counted once for texts that are equal; two texts are enough for a word, if that ratio is MIN_G2
+    or more. Null ids, marks and texts are passed over. Without
     marked documents every grade is 0 and so is every expected severity.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull()).select("doc_id", F.col(mark).cast("int").alias("mark"))
@@ -101,13 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic", sample: int = S
     drop(held)
     number, over = {t: k for k, (t, _) in enumerate(best)}, {t for t, more in best if more}
     grades = np.array([0 if not r["mark"] else 2 if len(over.intersection(r["terms"])) >= STRONG else 1 for r in rows])
-    weights, cuts = fit_cumulative_link([[number[t] for t in r["terms"]] for r in rows], grades, len(best), 3)
+    weights, cuts = fit_cumulative_link([[number[t] for t in r["terms"]] for r in rows], grades, len(best), 3, l2=100 * PRIOR / len(rows))
     return CumulativeLink({t.encode(): float(w) for (t, _), w in zip(best, weights, strict=True)}, tuple(map(float, cuts)))
 
 
 def score(docs: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
     """docs with expected_severity (the sum of P(grade > k)), grade (its rounding) and toxic
-    (expected_severity >= reject). Null and empty texts have severity 0 and are never toxic. All
+    (expected_severity >= reject, and the text's words raise the odds EVIDENCE times or more, so that
+    none is rejected for the share of marked labels alone). Null and empty texts have severity 0 and are never toxic. All
     columns are returned, older ones of these three names replaced; only texts go to Python, and
     the model is of bounded size."""
 
@@ -115,5 +122,6 @@ def score(docs: DataFrame, model: CumulativeLink, reject: float = REJECT) -> Dat
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series([float(model.above(t).sum()) if t else 0.0 for t in texts], dtype=float)
 
+    least = max(reject, float(model.above_at(float(np.log(EVIDENCE))).sum()))
     out = docs.drop("expected_severity", "grade", "toxic").withColumn("expected_severity", rate("text"))
-    return out.withColumn("grade", F.round("expected_severity").cast("int")).withColumn("toxic", F.col("expected_severity") >= reject)
+    return out.withColumn("grade", F.round("expected_severity").cast("int")).withColumn("toxic", F.col("expected_severity") >= least)

@@ -154,6 +154,31 @@ def test_cumulative_link_recovers_order():
     assert np.allclose(weights, (2, -1, 0.5, 0), atol=0.4) and np.allclose(cuts, (0.5, 2), atol=0.4)
 
 
+TOXIC_WORDS = "stupid scum worthless idiot trash clown loser moron pathetic disgusting"
+
+
+def test_toxicity_of_rare_words(spark):
+    """Words in a few of few labelled texts are learned, and no clean text goes with them."""
+    d = "/root/testdata/sf0.001"
+    docs, marks = read(spark, d, "documents"), read(spark, d, "labels")
+    model = toxicity.fit(docs, marks)
+    bad = sum(bool(r["toxic"]) for r in marks.collect())
+    out = toxicity.score(docs, model).select("doc_id", F.col("toxic").alias("found")).join(marks, "doc_id").collect()
+    assert not any(r["found"] for r in out if not r["toxic"]) and sum(r["found"] for r in out if r["toxic"]) >= 0.9 * bad
+    assert all(model.weights[w.encode()] > 0 for w in TOXIC_WORDS.split())
+    new = spark.createDataFrame([(1, f"some words nobody saw {TOXIC_WORDS}"), (2, "some words nobody saw")], "doc_id long, text string")
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.score(new, model).collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize("words", [("vile ", "calm "), ("", "")])
+def test_toxicity_of_many_marked(spark, words):
+    """With half the labels marked, texts without words of the model stay, be it empty or not."""
+    docs = messy(spark, [(k, f"{words[k % 2]}own{k} more{k}", "en", "a") for k in range(40)])
+    model = toxicity.fit(docs, labels(spark, [(k, 1, 1 - k % 2) for k in range(40)]))
+    new = toxicity.score(messy(spark, [(1, "plain text", None, None), (2, "vile text", None, None)]), model)
+    assert {r["doc_id"]: r["toxic"] for r in new.collect()} == {1: False, 2: bool(words[0])}
+
+
 def test_toxicity_edges(spark):
     docs = messy(spark)
     model = toxicity.fit(docs, labels(spark, [(4, 1, 0), (None, 1, 1), (9, 1, None)]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,6 @@ BLOCK_ROWS = 8_000  # documents whose distinct n-grams are looked up together
 BLOCK_BYTES = 64 << 20  # of their texts on average, at most
 CHUNK = 1 << 20  # n-grams that are sorted at once
 QUANTILE = 0.99  # of the trusted documents' perplexities, for each language
-SLACK = 1.5  # times which a document's perplexity may be
 
 # Ids pass through pandas as strings, as a null would turn the integers of its batch into doubles.
 PACKED = "block long, ids array<string>, langs array<string>, sizes array<int>, data binary"
@@ -188,13 +188,27 @@ def perplexities(docs: DataFrame, packed: DataFrame, bounds: np.ndarray, model:
     return scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, held_out: int = 5) -> DataFrame:
+def _limit(value: Column, quantile: float) -> Column:
+    """The quantile of values, or the bound of a further one where they are too few (see classify);
+    null for fewer than two."""
+    n, z = F.count(value), NormalDist().inv_cdf(quantile)
+    exact = F.percentile_approx(value, quantile, 100_000)  # the accuracy
+    # Student's t by its expansion in 1 / degrees of freedom.
+    free = F.nullif(n - 1, F.lit(0))
+    t = F.lit(z) + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)
+    bound = F.exp(F.avg(F.log(value)) + t * F.stddev_samp(F.log(value)) * F.sqrt(1 + 1 / (free + 1)))
+    return F.when(n * (1 - quantile) >= 1 - 1e-9, exact).otherwise(bound)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held_out: int = 5) -> DataFrame:
     """Per row of docs: doc_id, lang, perplexity, threshold, kept.
 
     The model is trained on the documents with a label of quality 1, except one in held_out by a
-    hash of the id; a language's threshold is `slack` times the `quantile` of those held out in it
-    (of all held out where it has none, infinity without any). A document is kept if its
-    perplexity doesn't exceed the threshold.
+    hash of the id; a language's threshold is the `quantile` of those held out in it. Fewer
+    than 1 / (1 - quantile) of them don't reach that far: there it is the value that a further
+    document stays below with that probability, logarithms being normal (of all held out where a
+    language has one or none, infinity without any). A document is kept if its perplexity doesn't
+    exceed the threshold.
 
     Null and empty texts have no perplexity and aren't kept; null languages are one language;
     rows without doc_id are never trusted; repeated rows are scored alike (and counted as often);
@@ -211,10 +225,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     scored = perplexities(docs, packed, bounds, model)
     release(spark)
     held = scored.join(trusted.where(out), "doc_id")
-    exact = 100_000  # accuracy of the approximate quantile
-    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, exact).alias("limit"))
-    overall = held.agg(F.percentile_approx("perplexity", quantile, exact)).first()[0]
+    limits = held.groupBy("lang").agg(_limit(F.col("perplexity"), quantile).alias("limit"))
+    overall = held.agg(_limit(F.col("perplexity"), quantile)).first()[0]
     limits = limits.select(F.coalesce("lang", F.lit("")).alias("_lang"), "limit")
-    threshold = F.coalesce("limit", F.lit(float("inf") if overall is None else float(overall))) * slack
+    threshold = F.coalesce("limit", F.lit(float("inf") if overall is None else float(overall)))
     rows = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(limits, "_lang", "left").withColumn("threshold", threshold)
     return rows.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

@@ -458,6 +458,23 @@ def test_classifier_against_labels(spark):
     assert sum(r["kept"] for r in good) >= 0.95 * len(good) and sum(r["kept"] for r in poor) <= 0.4 * len(poor)
 
 
+def test_classifier_threshold_is_the_quantile(spark):
+    d = "/root/testdata/sf0.1"
+    marks = read(spark, d, "labels")
+    rows = ngram.classify(read(spark, d, "documents"), marks).join(marks.withColumn("out", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "doc_id").where("perplexity IS NOT NULL").collect()
+    good, poor = [r for r in rows if r["quality"] and r["out"]], [r for r in rows if not r["quality"]]
+    sizes = []
+    for lang in {r["lang"] for r in good}:
+        ours = sorted(r["perplexity"] for r in good if r["lang"] == lang)
+        limit = {r["threshold"] for r in good if r["lang"] == lang}
+        assert len(limit) == 1 and (len(ours) < 100 or limit == {ours[math.ceil(0.99 * len(ours)) - 1]})
+        sizes.append(len(ours))
+    assert max(sizes) >= 100
+    for k in (1.0, 1.5):
+        print("FIG", k, *(f"{sum(r['perplexity'] <= k * r['threshold'] for r in x)} of {len(x)}" for x in (good, poor)))
+    assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in poor) <= 0.15 * len(poor)
+
+
 def test_classifier_edges(spark):
     docs = messy(spark)
     got = ngram.classify(docs, labels(spark, [(k, 1, 0) for k in (4, 5, 7, 8, 9)] + [(None, 1, 0)])).collect()

@@ -78,9 +78,11 @@ def _member(source, at: int, have: bytes) -> tuple[bytes, int, bytes] | None:
             out.append(unpack.decompress(fed))
             if not checked:
                 got = b"".join(out)
-                if len(got) >= 7 and not got.startswith(b"WARC/1.") or len(got) > READ and _header(got) is None:
+                if len(got) >= 7 and not got.startswith(b"WARC/1."):
+                    return None
+                checked = b"\r\n\r\n" in got
+                if checked and _header(got) is None:
                     return None
-                checked = _header(got) is not None
             if unpack.eof:
                 after = unpack.unused_data + rest
                 return b"".join(out), position - len(after), after
@@ -144,7 +146,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     ids = ids.where(F.col("n") >= min_revisit_bytes).select("page_id", "digest")
     first = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisit = ids.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    rows = pages.select("page_id", F.unhex(F.sha1(html)).alias("digest"), "url", html.alias("html")).join(revisit, ["page_id", "digest"], "left").repartition(partitions(spark), "page_id")
+    # Dealt by both join keys beforehand, the html is shuffled once, for the join as for the files.
+    rows = pages.select("page_id", F.unhex(F.sha1(html)).alias("digest"), "url", html.alias("html")).repartition(partitions(spark), "page_id", "digest")
+    rows = rows.join(revisit, ["page_id", "digest"], "left")
     # As strings, as a null would turn the integers of its batch into doubles in pandas.
     rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
 

@@ -500,7 +500,7 @@ def test_warc_ranges():
 
 
 def test_warc_round_trip(spark):
-    rows = [(0, "http://a", "same"), (1, None, "same"), (2, "x\r\ny", ""), (3, "b", None), (4, "c", "é" * 400_000), (2**60 + 1, "d", "same"), (7, "e", "own")]
+    rows = [(0, "http://a", "same"), (1, None, "same"), (2, "x\r\ny", ""), (3, "b", None), (4, "c", "é" * 400_000), (2**60 + 1, "d", "same"), (7, "e", "own"), (8, "http://" + "u" * (2 << 20), "long url")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     got = {int(r["record_id"].rpartition(":")[2]): r for r in warc.read_archives(spark, warc.write_archives(pages), 700).collect()}
     assert got.keys() == {r[0] for r in rows}

@@ -6,6 +6,9 @@ start at anchors, about one in 185 bytes, instead of all. The strings of one anc
 neighbours in the text; together they are its context, and two strings of different contexts are
 equal if and only if they have as many bytes before the anchor in common as they have there, and
 likewise behind it.
+
+Texts may also be read as words: each then stands for its hash of WORD bytes, and only strings of
+whole words count (`unit`).
 """
 
 from __future__ import annotations
@@ -14,50 +17,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .common import cut, drop, partitions, release
-from .textbytes import U, mix, prefix_sums, span_hashes
+from .textbytes import U, mix, prefix_sums, span_hashes, word_hashes, word_places
 
 LENGTH, GRAM = 400, 32
+WORD, GRAM_WORDS = 6, 5  # bytes of a word's hash, and words of a gram where texts are read as words
 BUCKET_BYTES = 8 << 20  # of contexts in a bucket
+COMMON = 32  # contexts of one gram from which on splitters between them are whole suffixes
 
 ANCHORS = "doc long, th long, key long, ctx long, lo int, size int, a int"
-CONTEXTS = "key long, ctx long, copies boolean, a int, bytes binary"
+CONTEXTS = "key long, ctx long, copies boolean, common boolean, a int, bytes binary"
 BEHIND = ", behind binary"  # the gram at the anchor, then the bytes before it, last first
 LCS = ", lcs int"  # at most so many bytes before the anchor are common with another context
 FOUND = "key long, ctx long, j0 int, j1 int, w1 long, w2 long, bucket int"
 _CTX = U(0xD6E8FEB86659FD93)
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> tuple[np.ndarray, ...]:
     """(key, ctx, lo, size, a) of each anchor: hashes of its gram and of its context, where the
     context starts, its bytes, and how many of them stand before the anchor."""
-    n, w = len(data), length - gram + 1
-    if n < length:
+    if len(data) < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) * 3
+    n_windows, w = (len(data) - length) // unit + 1, (length - gram) // unit + 1
     sums = prefix_sums(np.frombuffer(data, dtype=np.uint8))
-    at = np.arange(n - gram + 1)
+    at = np.arange(0, len(data) - gram + 1, unit)
     grams = span_hashes(sums, at, at + gram)
     # The least hash in each window of w grams: running minima from both ends of blocks of w.
     v = np.full(-(-len(grams) // w) * w, U(2**64 - 1))
-    v[: len(grams)] = (grams & U(0xFFFFFFFF00000000)) | at.astype(U)
+    v[: len(grams)] = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams)).astype(U)
     v = v.reshape(-1, w)
     ahead, back = np.minimum.accumulate(v, axis=1).ravel(), np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()
-    n_windows = n - length + 1
     x = (np.minimum(back[:n_windows], ahead[w - 1 : w - 1 + n_windows]) & U(0xFFFFFFFF)).astype(np.int64)
-    lo = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1))
-    hi = np.concatenate((lo[1:], [n_windows])) + length - 1
-    x = x[lo]
-    return grams[x].view(np.int64), mix(span_hashes(sums, lo, hi) ^ _CTX).view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32), (x - lo).astype(np.int32)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1))
+    lo, hi = first * unit, (np.concatenate((first[1:], [n_windows])) - 1) * unit + length
+    x = x[first]
+    return grams[x].view(np.int64), mix(span_hashes(sums, lo, hi) ^ _CTX).view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32), (x * unit - lo).astype(np.int32)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as the hashes of their words, WORD bytes each."""
+    for batch in batches:
+        yield batch.assign(text=[np.ascontiguousarray(word_hashes(t or b"").view(np.uint8).reshape(-1, 8)[:, :WORD]).tobytes() for t in batch["text"]])
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, unit: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [anchors(t or b"", length, gram) for t in batch["text"]]
+            got = [anchors(t or b"", length, gram, unit) for t in batch["text"]]
             counts = [len(g[0]) for g in got]
             if sum(counts):
                 cols = [np.concatenate(c) for c in zip(*got, strict=True)]
@@ -73,8 +83,8 @@ def _cut_out(gram: int):
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 for p in wanted:
                     data, a = bytes(text[p["lo"] : p["lo"] + p["size"]]), p["a"]
-                    out.append((p["key"], p["ctx"], p["n"] > 1, a, data, data[a : a + gram] + data[:a][::-1]))
-            yield pd.DataFrame(out, columns=["key", "ctx", "copies", "a", "bytes", "behind"])
+                    out.append((p["key"], p["ctx"], p["n"] > 1, p["common"], a, data, data[a : a + gram] + data[:a][::-1]))
+            yield pd.DataFrame(out, columns=["key", "ctx", "copies", "common", "a", "bytes", "behind"])
 
     return cut_out
 
@@ -127,12 +137,16 @@ def _bucket_rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     return rows if rows is not None and len(rows) else None
 
 
-def _most(order: np.ndarray, lcp: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def _most(order: np.ndarray, lcp: np.ndarray, whole: np.ndarray, common: np.ndarray, gram: int) -> np.ndarray:
     """For each string what it has in common with any other string of all buckets, at most. In
-    sorted order none has more than a neighbour; the first and the last of a bucket may have their
-    nearest neighbour beyond its boundary, and so anything up to their whole length."""
+    sorted order none has more than a neighbour; but the first and the last of a bucket may have
+    their nearest neighbour beyond its boundary, and so may all strings of the first and last
+    group of equal grams, unless they are split by whole suffixes: these count with their whole length."""
     near = np.maximum(lcp, np.concatenate((lcp[1:], [0])))
-    near[[0, -1]] = whole[order[[0, -1]]]
+    group = np.cumsum(lcp < gram)
+    open_ = np.isin(group, group[[0, -1]]) & ~common[order]
+    open_[[0, -1]] = True
+    near = np.where(open_, whole[order], near)
     out = np.empty_like(near)
     out[order] = near
     return out
@@ -146,13 +160,13 @@ def _behind(gram: int):
             return
         sizes = np.array([len(b) for b in rows["behind"]])
         buffer = np.frombuffer(b"".join(rows["behind"]) + bytes(8), dtype=np.uint8)
-        lcs = _most(*multikey_sort(buffer, np.cumsum(sizes) - sizes, sizes), sizes) - gram
+        lcs = _most(*multikey_sort(buffer, np.cumsum(sizes) - sizes, sizes), sizes, rows["common"].to_numpy(bool), gram) - gram
         yield rows.drop(columns="behind").assign(lcs=np.maximum(lcs, -1))
 
     return behind
 
 
-def _bucket(length: int, gram: int):
+def _bucket(length: int, gram: int, unit: int):
     """For all contexts of a range partition: runs of repeated strings j0..j1 (places in the
     context), and for the first and last group, whose anchors' grams other partitions may have
     too, one of each set of equal strings that could be elsewhere, with two 64-bit hashes."""
@@ -172,11 +186,11 @@ def _bucket(length: int, gram: int):
         rank, back_rank = np.empty_like(order), np.empty_like(order)
         rank[order], back_rank[back_order] = np.arange(len(order)), np.arange(len(order))
         windows = sizes - length + 1
-        fewest, most = length - _most(order, lcp, sizes - a), rows["lcs"].to_numpy()  # bytes before the anchor
+        fewest, most = length - _most(order, lcp, sizes - a, rows["common"].to_numpy(bool), gram), rows["lcs"].to_numpy()  # bytes before the anchor
         outer = np.isin(group, group[[0, -1]])[rank]
-        repeated = np.zeros((len(rows), length - gram + 1), dtype=bool)
+        repeated = np.zeros((len(rows), (length - gram) // unit + 1), dtype=bool)
         asked = []
-        for left in range(length - gram + 1):
+        for left in range(0, length - gram + 1, unit):
             j = a - left
             those = np.flatnonzero((j >= 0) & (j < windows) & (fewest <= left) & (left <= most))
             if not len(those):
@@ -184,11 +198,11 @@ def _bucket(length: int, gram: int):
             ahead = np.cumsum(lcp < length - left)[rank[those]]
             behind = np.cumsum(back_lcp < left)[back_rank[those]] if left else 0
             _, one, which, count = np.unique(ahead * (len(rows) + 1) + behind, return_index=True, return_inverse=True, return_counts=True)
-            repeated[those, left] = count[which] > 1
+            repeated[those, left // unit] = count[which] > 1
             ask = those[one][outer[those[one]]]
             asked.append(np.stack((ask, a[ask] - left)))
         keys, ctxs = rows["key"].to_numpy(), rows["ctx"].to_numpy()
-        yield _runs(repeated, a, windows, keys, ctxs, rows["copies"].to_numpy(), number)
+        yield _runs(repeated, a, unit, keys, ctxs, rows["copies"].to_numpy(bool), number)
         who, at = np.concatenate(asked, axis=1) if asked else np.zeros((2, 0), np.int64)
         by = np.argsort(who, kind="stable")
         for part in np.split(by, np.flatnonzero(np.diff(who[by])) + 1) if len(by) else ():
@@ -200,17 +214,17 @@ def _bucket(length: int, gram: int):
     return bucket
 
 
-def _runs(repeated: np.ndarray, a: np.ndarray, windows: np.ndarray, keys: np.ndarray, ctxs: np.ndarray, copies: np.ndarray, number: int) -> pd.DataFrame:
+def _runs(repeated: np.ndarray, a: np.ndarray, unit: int, keys: np.ndarray, ctxs: np.ndarray, copies: np.ndarray, number: int) -> pd.DataFrame:
     """The maximal runs of repeated strings of each context that isn't repeated as a whole."""
     wide = np.zeros((len(a), repeated.shape[1] + 2), dtype=np.int8)
     wide[:, 1:-1] = repeated & ~copies[:, None]
     step = np.diff(wide, axis=1)
     i, first = np.nonzero(step == 1)
     _, past = np.nonzero(step == -1)
-    return pd.DataFrame({"key": keys[i], "ctx": ctxs[i], "j0": (a[i] - past + 1).astype(np.int32), "j1": (a[i] - first).astype(np.int32), "w1": pd.array([None] * len(i), dtype="Int64"), "w2": pd.array([None] * len(i), dtype="Int64"), "bucket": number})
+    return pd.DataFrame({"key": keys[i], "ctx": ctxs[i], "j0": (a[i] - (past - 1) * unit).astype(np.int32), "j1": (a[i] - first * unit).astype(np.int32), "w1": pd.array([None] * len(i), dtype="Int64"), "w2": pd.array([None] * len(i), dtype="Int64"), "bucket": number})
 
 
-def _remove(as_text: bool):
+def _remove(as_text: bool, unit: int):
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept, spans = [], []
@@ -221,6 +235,9 @@ def _remove(as_text: bool):
                         merged[-1][1] = max(e, merged[-1][1])
                     else:
                         merged.append([s, e])
+                if merged and unit > 1:  # from words to bytes
+                    starts, ends = word_places(text)
+                    merged = [[int(starts[s // unit]), int(ends[e // unit - 1])] for s, e in merged]
                 cuts = [0, *(x for m in merged for x in m), len(text)]
                 left = b"".join(text[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)) if merged else text
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
@@ -230,34 +247,37 @@ def _remove(as_text: bool):
     return remove
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
     """(doc, th, found): for each text with repeats, the byte ranges (s, e) found, which may
-    overlap. docs has doc, th, text (binary). See :func:`remove_repeats`."""
+    overlap. docs has doc, th, text (binary). With `unit`, texts are sequences of so many bytes
+    each, which length and gram are multiples of. See :func:`remove_repeats`."""
     spark = docs.sparkSession
-    all_anchors = cut(docs.mapInPandas(_anchor_rows(length, gram), ANCHORS), "anchors")
+    all_anchors = cut(docs.mapInPandas(_anchor_rows(length, gram, unit), ANCHORS), "anchors")
     # Contexts that occur twice are repeated as a whole; copies meet in one pre-aggregated row.
     contexts = all_anchors.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "size", "a")).alias("at"))
     contexts = cut(contexts.select("key", "ctx", "n", "at.*"), "contexts")
     release(spark)
     # Others can only share strings with the other contexts of their anchor's gram.
-    several = contexts.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 AND n = 1").select("key")
-    wanted = cut(contexts.join(several, "key", "left_semi"), "wanted")
+    several = contexts.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 AND n = 1").select("key", (F.col("c") > COMMON).alias("common"))
+    wanted = cut(contexts.join(several, "key"), "wanted")
     whole = cut(contexts.where("n > 1").select("key", "ctx", F.lit(0).alias("j0"), (F.col("size") - length).alias("j1")), "whole")
     drop(contexts)
     release(spark)
-    of_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "ctx", "n", "lo", "size", "a")).alias("wanted"))
+    of_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "ctx", "n", "common", "lo", "size", "a")).alias("wanted"))
     pieces = cut(docs.join(of_doc, ["doc", "th"]).select("text", "wanted").mapInPandas(_cut_out(gram), CONTEXTS + BEHIND), "pieces")
     release(spark)
     total = wanted.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
-    # Buckets are ranges, split at sampled contexts; ctx splits equal strings. First by what stands
-    # before the anchors, to bound what contexts have in common there, then by the suffixes.
-    bounded = pieces.repartitionByRange(n_buckets, "behind", "ctx").mapInPandas(_behind(gram), CONTEXTS + LCS)
+    # Buckets are ranges, split at sampled leading bytes, a gram of them; only contexts of a gram that
+    # COMMON others have too are split by their whole suffixes. ctx splits equal ones. First by what
+    # stands before the anchors, to bound what contexts have in common there, then by the suffixes.
+    leading = lambda c: F.when(F.col("common"), c).otherwise(F.substring(c, 1, gram))
+    bounded = pieces.repartitionByRange(n_buckets, leading(F.col("behind")), "ctx").mapInPandas(_behind(gram), CONTEXTS + LCS)
     bounded = cut(bounded, "bounded")
     drop(pieces)
     suffix = F.expr("substring(bytes, a + 1)")
-    buckets = bounded.repartitionByRange(n_buckets, suffix, "ctx").withColumn("part", F.spark_partition_id())
-    found = cut(buckets.mapInPandas(_bucket(length, gram), FOUND), "found")
+    buckets = bounded.repartitionByRange(n_buckets, leading(suffix), "ctx").withColumn("part", F.spark_partition_id())
+    found = cut(buckets.mapInPandas(_bucket(length, gram, unit), FOUND), "found")
     # Across boundaries: strings of the outer groups that another bucket has as well.
     outer = found.where("w1 IS NOT NULL")
     both = outer.groupBy("w1", "w2").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo < hi").select("w1", "w2")
@@ -271,20 +291,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def _covered(found: Column) -> Column:
+    """How many bytes the ranges (s, e) cover, which may overlap."""
+    start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
+    step = lambda x, f: F.struct(F.greatest(x["to"], f["e"]).alias("to"), (x["n"] + F.greatest(F.lit(0), f["e"] - F.greatest(x["to"], f["s"]))).alias("n"))
+    return F.aggregate(F.array_sort(found), start, step, lambda x: x["n"])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False, words: int = 0, count_words: int = 0) -> DataFrame:
     """docs, whose text is replaced by kept (binary, or with as_text a string that leaves out
     characters of which a part was removed) and spans. kept has the text's UTF-8 bytes without each byte that is
     covered by a string of `length` bytes which also starts anywhere else, in the same document
     or another; spans are the maximal removed ranges of bytes in order. Strings don't cross
     documents and are judged on the input.
 
-    Null texts count as empty, and texts of fewer than `length` bytes have no such string; their
+    With `words` (GRAM_WORDS at least), the strings are runs of so many words instead, however
+    many bytes they have; they are removed from their first word's start to their last one's end,
+    and the white space between words doesn't matter. With `count_words`, n_repeated_words is how
+    many words of the text stand in runs of so many words that also start elsewhere; these aren't
+    removed.
+
+    Null texts count as empty, and texts that are shorter than such a string have none; their
     bytes are kept (for null text kept is empty, was_null true). Documents are told apart by doc_id and text, so null or repeated ids do no
     harm; repeated rows are repeats of each other and go wholly if long enough. An empty table
     gives no rows. All other columns of docs are returned, under whatever names,
-    but for older ones named kept, spans or was_null, which these replace.
+    but for older ones named as those made here, which these replace.
     """
-    rest = [c for c in docs.columns if c not in ("text", "kept", "spans", "was_null")]
+    made = ["kept", "spans", "was_null", *(["n_repeated_words"] if count_words else [])]
+    rest = [c for c in docs.columns if c not in ("text", *made)]
     inner = docs.select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"),
         F.xxhash64("text").alias("th"),
@@ -292,12 +326,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
         F.col("text").isNull().alias("was_null"),
         *(F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(rest)),
     )
-    spans = repeated_spans(inner.select("doc", "th", "text"), length, gram)
+    texts = inner.select("doc", "th", "text")
+    of_words = lambda n: repeated_spans(texts.mapInPandas(_words, texts.schema), n * WORD, GRAM_WORDS * WORD, WORD)
+    spans = of_words(words) if words else repeated_spans(texts, length, gram)
+    if count_words:
+        counted = of_words(count_words).select("doc", "th", (_covered(F.col("found")) / WORD).cast("long").alias("n_repeated_words"))
+        spans = spans.join(counted, ["doc", "th"], "full")
     # Integers pass through pandas as strings, as a null would turn those of its batch into doubles.
     kinds = {c: docs.schema[c].dataType for c in rest}
     whole = {c for c in rest if isinstance(kinds[c], IntegralType)}
     rows = inner.join(spans, ["doc", "th"], "left")
-    shaped = rows.select("text", "found", *(F.col(f"c_{k}").cast("string").alias(f"c_{k}") if c in whole else f"c_{k}" for k, c in enumerate(rest)), "was_null")
-    fields = ", ".join(f"c_{k} {'string' if c in whole else kinds[c].simpleString()}" for k, c in enumerate(rest))
-    out = shaped.mapInPandas(_remove(as_text), f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>, {fields}, was_null boolean")
-    return out.select(*(F.col(f"c_{k}").cast(kinds[c]).alias(c) for k, c in enumerate(rest)), "kept", "spans", "was_null")
+    counts = [F.coalesce("n_repeated_words", F.lit(0)).cast("long").alias("n_repeated_words")] if count_words else []
+    shaped = rows.select("text", "found", *(F.col(f"c_{k}").cast("string").alias(f"c_{k}") if c in whole else f"c_{k}" for k, c in enumerate(rest)), "was_null", *counts)
+    fields = ", ".join([f"c_{k} {'string' if c in whole else kinds[c].simpleString()}" for k, c in enumerate(rest)] + ["was_null boolean"] + ["n_repeated_words long"] * bool(count_words))
+    out = shaped.mapInPandas(_remove(as_text, WORD if words else 1), f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>, {fields}")
+    return out.select(*(F.col(f"c_{k}").cast(kinds[c]).alias(c) for k, c in enumerate(rest)), *made)

@@ -49,9 +49,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(U))
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (run of bytes other than ASCII white space) starts and ends."""
+    edge = np.diff(np.concatenate(([True], SPACE[np.frombuffer(data, dtype=np.uint8)], [True])).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (run of bytes other than ASCII white space), in order."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    edge = np.diff(np.concatenate(([True], SPACE[raw], [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return span_hashes(prefix_sums(raw), starts, ends)
+    """A 64-bit hash of each word, in order."""
+    return span_hashes(prefix_sums(np.frombuffer(data, dtype=np.uint8)), *word_places(data))

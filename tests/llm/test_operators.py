@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -541,9 +542,39 @@ def brute_repeats(texts, length):
     return gone
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "bucket"), [(0, 40, 8, 1 << 23), (1, 40, 8, 300), (2, 64, 32, 1000)])
-def test_suffix_dedup(spark, monkeypatch, seed, length, gram, bucket):
+def brute_word_runs(texts, n):
+    """(text without runs of n words that start elsewhere too, words in them) of each text."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    gone = brute_repeats([tuple(t[s:e] for s, e in p) for t, p in zip(texts, places, strict=True)], n)
+    out = []
+    for t, p, g in zip(texts, places, gone, strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], g.astype(int), [0]))))
+        cuts = [0, *(x for a, b in zip(edge[::2], edge[1::2], strict=True) for x in (p[a][0], p[b - 1][1])), len(t)]
+        out.append((b"".join(t[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)), int(g.sum())))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "bucket", "common"), [(0, 1 << 23, 32), (1, 300, 1), (2, 300, 10**6), (3, 900, 32)])
+def test_suffix_dedup_of_words(spark, monkeypatch, seed, bucket, common):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
+    rng = random.Random(seed)
+    say = lambda n, words: rng.choice(" \n").join(rng.choice(words) for _ in range(n))
+    pool = [say(rng.randint(5, 30), ("a", "b", "é")) for _ in range(12)]
+    texts = [rng.choice(("  ", "\n", "\t x ")).join(rng.choice(pool) if rng.random() < 0.5 else say(rng.randint(0, 12), ("x", "y", "ü", "w" * 70)) for _ in range(rng.randint(0, 6))) for _ in range(70)] + ["q " * 40, "q\n" * 7, ""]
+    want = brute_word_runs([t.encode() for t in texts], 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, words=8).collect()}
+    counted = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 40, 8, count_words=8).collect()}
+    assert {k: bytes(r["kept"]) for k, r in got.items()} == {k: t for k, (t, _) in enumerate(want)}
+    assert {k: r["n_repeated_words"] for k, r in counted.items()} == {k: n for k, (_, n) in enumerate(want)}
+    assert 10 < sum(n > 0 for _, n in want) < 70
+
+
+@pytest.mark.parametrize(("seed", "length", "gram", "bucket", "common"), [(0, 40, 8, 1 << 23, 32), (1, 40, 8, 300, 1), (2, 64, 32, 1000, 32), (3, 40, 8, 300, 10**6)])
+def test_suffix_dedup(spark, monkeypatch, seed, length, gram, bucket, common):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
     rng = random.Random(seed)
     pool = ["".join(rng.choice("ab é") for _ in range(rng.randint(20, 150))) for _ in range(12)]
     texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choice("xyz ü") for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 6))) for _ in range(70)] + ["z" * 300, "ab" * 200, ""]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bitlattice.llm import minhash, mixing, packing, suffix_dedup, toxicity
 from bitlattice.llm.common import cut, read, release
-from bitlattice.llm.queries import tokenizer_path
+from bitlattice.llm.queries import PASSAGE_WORDS, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILARITY = 80  # percent of common word shingles from which on documents are near duplicates
@@ -35,9 +35,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that also stand elsewhere; characters that
-    a cut goes through are left out. Null texts stay null; n_chars is that of the new text."""
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    """Texts without the runs of PASSAGE_WORDS words or more that also stand elsewhere, in whatever
+    white space. In words and not in bytes, as a passage of that many short words may have 130 bytes
+    only: of such runs in check_s a quarter have less than 400. Null texts stay null; n_chars is that
+    of the new text."""
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, words=PASSAGE_WORDS)
     text = F.when(~F.col("was_null"), F.col("kept"))
     return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -52,6 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each row stands in the packed sequences. Null text is an empty document of
+    the end id alone; every row is packed, those of null or repeated doc_id too."""
     return packing.pack_documents(docs, tokenizer_path(), {"ids_crc32": F.crc32("ids")}).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

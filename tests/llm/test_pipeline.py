@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_operators import brute_repeats, shingle_set
+from test_operators import brute_word_runs, shingle_set
 
 import corpus_pipeline
 from bitlattice.llm import packing
@@ -79,8 +79,8 @@ def brute_near(rows):
 
 
 def brute_cut(rows):
-    gone = brute_repeats([(r[1] or "").encode() for r in rows], 400)
-    texts = [r[1] if r[1] is None else np.frombuffer(r[1].encode(), np.uint8)[~g].tobytes().decode() for r, g in zip(rows, gone, strict=True)]
+    cuts = brute_word_runs([(r[1] or "").encode() for r in rows], 50)
+    texts = [r[1] if r[1] is None else t.decode() for r, (t, _) in zip(rows, cuts, strict=True)]
     return [(r[0], t, r[2], r[3], None if t is None else len(t)) for r, t in zip(rows, texts, strict=True)]
 
 
@@ -123,6 +123,23 @@ def test_drop_repeated_passages(spark, folder):
     assert bag(got) == bag(brute_cut(rows)) != bag(rows)
 
 
+def test_passages_of_short_words_go(spark, folder):
+    """51 to 80 words of one or two letters, far below 400 bytes, each in three documents."""
+    rng = random.Random(3)
+    own = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(90))
+    rows, passages = [], []
+    for n in (51, 60, 80):
+        passages.append([rng.choice("abcdefghijklmnop") + rng.choice("xyz") * rng.randint(0, 1) for _ in range(n)])
+        rows += [(len(rows) + k, f"{own()}{sep}{sep.join(passages[-1])}\n{own()}", "en", "a", 0) for k, sep in enumerate((" ", "\n", "  "))]
+    rows += [(100 + k, own(), "en", "a", 0) for k in range(20)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, frame(spark, rows), folder).collect()}
+    for k, (_, text, *_) in enumerate(rows):
+        if k < 9:
+            assert " ".join(passages[k // 3]) not in " ".join(got[k].split()) and len(got[k].split()) == 180
+        else:
+            assert got[rows[k][0]] == text
+
+
 def with_copies(rows, copies):
     return Counter({r: n for r, n in zip(rows, copies, strict=True) if n})
 

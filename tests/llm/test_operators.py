@@ -5,7 +5,7 @@ import io
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -444,6 +444,64 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.999 < total < 1.001 and unseen >= total
 
 
+def direct_kneser_ney(texts):
+    """p(character, three before it) by the formula: modified Kneser-Ney, interpolated, four orders."""
+    count = {4: Counter(("\0\0\0" + t)[k : k + 4] for t in texts for k in range(len(t)))}
+    for n in (3, 2, 1):
+        count[n] = Counter(g[1:] for g in count[n + 1])  # distinct left neighbours
+
+    def discounts(n):
+        many = Counter(count[n].values())
+        n1, n2, n3, n4 = (many[k] for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n1 and n2 else y, 3 - 4 * y * n4 / n3 if n1 and n3 else y]
+        return [min(max(x, 0.05), 0.95 * k) for k, x in enumerate(d, 1)]
+
+    cut = {n: discounts(n) for n in count}
+    off = lambda n, c: cut[n][min(c, 3) - 1] if c else 0.0
+
+    def p(gram, n=4):
+        if n == 0:
+            return 1 / (len(count[1]) + 1)
+        gram = gram[-n:]
+        same = [c for g, c in count[n].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram, n - 1)
+        c = count[n].get(gram, 0)
+        return (c - off(n, c)) / sum(same) + sum(off(n, x) for x in same) / sum(same) * p(gram, n - 1)
+
+    return p
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kneser_ney_against_the_formula(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("aaabbcdé") for _ in range(rng.randint(1, 60))) for _ in range(8)]
+    p = direct_kneser_ney(texts)
+    asked = {("\0\0\0" + t)[k : k + 4] for t in [*texts, "abxéd", "zzzz", "ddab"] for k in range(len(t))}
+    number = {g: sum(ord(x) << (16 * k) for k, x in enumerate(reversed(g))) for g in asked}
+    model = ngram.kneser_ney(ngram.count_grams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.range(8).withColumnRenamed("id", "doc_id")))
+    got = {r["key"]: r["logp"] for r in model.log_probabilities(spark.createDataFrame([(k,) for k in number.values()], "key long")).collect()}
+    for g, k in number.items():
+        assert math.isclose(math.exp(got[k]), p(g), rel_tol=1e-9), g
+
+
+@pytest.mark.parametrize("rows", [8000, 3])
+def test_perplexity_against_the_formula(spark, monkeypatch, rows):
+    """Over whole tables, blocks of one id included; ids don't matter for blocks."""
+    monkeypatch.setattr(ngram, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram, "PIECE_CHARS", 40)
+    rng = random.Random(rows)
+    texts = {k: "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 50))) for k in range(30)}
+    docs = spark.createDataFrame([(k if k < 15 else None if k < 22 else 99, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").repartition(2)
+    marks = labels(spark, [(k, 1, 0) for k in range(15)])
+    held = {r["doc_id"] for r in marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
+    p = direct_kneser_ney([texts[k] for k in range(15) if k not in held and texts[k]])
+    want = [math.exp(-np.mean([math.log(p(("\0\0\0" + t)[k : k + 4])) for k in range(len(t))])) for t in texts.values() if t]
+    got = [r["perplexity"] for r in ngram.classify(docs, marks).collect()]
+    assert len(got) == 30 and np.allclose(sorted(x for x in got if x is not None), sorted(want))
+
+
 def test_tally(monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", 10)
     texts = ["hello world", "", "hello", "🐥 and more of it"]
@@ -471,8 +529,6 @@ def test_classifier_threshold_is_the_quantile(spark):
         assert len(limit) == 1 and (len(ours) < 100 or limit == {ours[math.ceil(0.99 * len(ours)) - 1]})
         sizes.append(len(ours))
     assert max(sizes) >= 100
-    for k in (1.0, 1.5):
-        print("FIG", k, *(f"{sum(r['perplexity'] <= k * r['threshold'] for r in x)} of {len(x)}" for x in (good, poor)))
     assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in poor) <= 0.15 * len(poor)
 
 

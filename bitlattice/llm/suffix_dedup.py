@@ -58,16 +58,15 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM, unit: int = 1)
     return grams[x].view(np.int64), mix(span_hashes(sums, lo, hi) ^ _CTX).view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32), (x * unit - lo).astype(np.int32)
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as the hashes of their words, WORD bytes each."""
-    for batch in batches:
-        yield batch.assign(text=[np.ascontiguousarray(word_hashes(t or b"").view(np.uint8).reshape(-1, 8)[:, :WORD]).tobytes() for t in batch["text"]])
+def _units(text: bytes, unit: int) -> bytes:
+    """The text itself, or where units are words the hashes of its words, `unit` bytes each."""
+    return text if unit == 1 else word_hashes(text).view(np.uint8).reshape(-1, 8)[:, :unit].tobytes()
 
 
 def _anchor_rows(length: int, gram: int, unit: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [anchors(t or b"", length, gram, unit) for t in batch["text"]]
+            got = [anchors(_units(t or b"", unit), length, gram, unit) for t in batch["text"]]
             counts = [len(g[0]) for g in got]
             if sum(counts):
                 cols = [np.concatenate(c) for c in zip(*got, strict=True)]
@@ -76,13 +75,14 @@ def _anchor_rows(length: int, gram: int, unit: int):
     return rows
 
 
-def _cut_out(gram: int):
+def _cut_out(gram: int, unit: int):
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
+                units = _units(text, unit)
                 for p in wanted:
-                    data, a = bytes(text[p["lo"] : p["lo"] + p["size"]]), p["a"]
+                    data, a = units[p["lo"] : p["lo"] + p["size"]], p["a"]
                     out.append((p["key"], p["ctx"], p["n"] > 1, p["common"], a, data, data[a : a + gram] + data[:a][::-1]))
             yield pd.DataFrame(out, columns=["key", "ctx", "copies", "common", "a", "bytes", "behind"])
 
@@ -249,8 +249,8 @@ def _remove(as_text: bool, unit: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
     """(doc, th, found): for each text with repeats, the byte ranges (s, e) found, which may
-    overlap. docs has doc, th, text (binary). With `unit`, texts are sequences of so many bytes
-    each, which length and gram are multiples of. See :func:`remove_repeats`."""
+    overlap. docs has doc, th, text (binary). With a unit other than 1, texts are read as their words' hashes
+    of so many bytes; length, gram, s and e are multiples of it. See :func:`remove_repeats`."""
     spark = docs.sparkSession
     all_anchors = cut(docs.mapInPandas(_anchor_rows(length, gram, unit), ANCHORS), "anchors")
     # Contexts that occur twice are repeated as a whole; copies meet in one pre-aggregated row.
@@ -264,7 +264,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit
     drop(contexts)
     release(spark)
     of_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "ctx", "n", "common", "lo", "size", "a")).alias("wanted"))
-    pieces = cut(docs.join(of_doc, ["doc", "th"]).select("text", "wanted").mapInPandas(_cut_out(gram), CONTEXTS + BEHIND), "pieces")
+    pieces = cut(docs.join(of_doc, ["doc", "th"]).select("text", "wanted").mapInPandas(_cut_out(gram, unit), CONTEXTS + BEHIND), "pieces")
     release(spark)
     total = wanted.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
         *(F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(rest)),
     )
     texts = inner.select("doc", "th", "text")
-    of_words = lambda n: repeated_spans(texts.mapInPandas(_words, texts.schema), n * WORD, GRAM_WORDS * WORD, WORD)
+    of_words = lambda n: repeated_spans(texts, n * WORD, GRAM_WORDS * WORD, WORD)
     spans = of_words(words) if words else repeated_spans(texts, length, gram)
     if count_words:
         counted = of_words(count_words).select("doc", "th", (_covered(F.col("found")) / WORD).cast("long").alias("n_repeated_words"))

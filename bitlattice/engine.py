@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from dataclasses import asdict, replace
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import errors as E
 from .functions import scalars
 from .operators.index import BitmapIndex, Stats, create
+from .sources.folders import delete, exists, shared_dir
 from .sources.tables import materialize, read_with_row_ids
 
 INFO = "catalog_name string, schema_name string, index_name string, table_name string"
@@ -24,8 +24,8 @@ class BitmapEngine:
 
     def __init__(self, spark: SparkSession, root: str | None = None, catalog: str = "memory", schema: str = "main"):
         self.spark, self.catalog, self.schema = spark, catalog, schema
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.root = root or f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='bitmaps-')}/bitmaps-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark)}/bitmaps-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}  # folders under root of a table ("table:name") or index
         self.tables: dict[str, DataFrame] = {}
         self.versions: dict[str, int] = {}
         self.indexes: dict[str, BitmapIndex] = {}
@@ -34,19 +34,27 @@ class BitmapEngine:
     # -- tables
 
     def register_table(self, name: str, table: DataFrame | str, materialized: bool = False) -> DataFrame:
-        """A Parquet path, or a DataFrame that has row_id. Registering again replaces the table."""
+        """A Parquet path, or a DataFrame that has row_id. Registering again replaces the table;
+        a materialised copy made before is deleted with drop_table."""
         df = read_with_row_ids(self.spark, table) if isinstance(table, str) else table
         if materialized:
-            df = materialize(df, f"{self.root}/table-{name}-{uuid.uuid4().hex}")
+            path = f"{self.root}/table-{name}-{uuid.uuid4().hex}"
+            df = materialize(df, path)
+            self.paths.setdefault(f"table:{name}", []).append(path)
         self.tables[name] = df
         self.versions[name] = self.versions.get(name, 0) + 1
         return df
 
     def drop_table(self, name: str) -> None:
+        """With its indexes and all that was written for them."""
         del self.tables[name]
         self.versions[name] += 1
         for k in [k for k, i in self.indexes.items() if i.table == name]:
-            del self.indexes[k]
+            self.drop_index(k)
+        self._forget(f"table:{name}")
+
+    def _forget(self, key: str) -> None:
+        delete(self.spark, *self.paths.pop(key, ()))
 
     # -- indexes
 
@@ -64,17 +72,22 @@ class BitmapEngine:
         version = self.versions.get(table, 0) if version is None else version
         if table not in self.tables:
             raise E.TransactionIndexError(E.TABLE_CHANGED)
-        index = create(name, table, columns[0], self.tables[table], options)
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        index = create(name, table, columns[0], self.tables[table], options, (lambda df: self.written(df, f"{path}/raw")) if store else None)
         if store:
-            index = self.stored(index)
+            index = self.stored(index, path, ready=True)
         if self.versions[table] != version:
+            delete(self.spark, path)
             raise E.TransactionIndexError(E.TABLE_CHANGED)
         self.indexes[name] = index
         return index
 
     def drop_index(self, name: str) -> None:
+        """Without it and without the files that create_index, stored or load of its own folder
+        wrote; indexes saved elsewhere stay."""
         if self.indexes.pop(name, None) is None:
             raise E.CatalogIndexError(E.INFO_MISSING.format(name))
+        self._forget(name)
 
     def index(self, name: str) -> BitmapIndex:
         """By name, which may be qualified by schema or by catalog and schema."""
@@ -120,17 +133,33 @@ class BitmapEngine:
 
     # -- persistence
 
-    def stored(self, index: BitmapIndex) -> BitmapIndex:
-        """The index with its words written under root and read back."""
-        path = f"{self.root}/{index.name}-{uuid.uuid4().hex}"
-        self.save(index, path)
+    def written(self, df: DataFrame, path: str) -> DataFrame:
+        """df, written to a path and read back."""
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def stored(self, index: BitmapIndex, path: str | None = None, ready: bool = False) -> BitmapIndex:
+        """The index with its words written under root and read back. What was written for an index
+        of that name before stays until drop_index or :meth:`superseded`, as others may read it."""
+        path = path or f"{self.root}/{index.name}-{uuid.uuid4().hex}"
+        self.save(index, path, ready)
+        self.paths.setdefault(index.name, []).append(path)
         return self._read(path)
 
-    def save(self, index: BitmapIndex, path: str) -> None:
+    def superseded(self, name: str, keep: int = 1) -> None:
+        """Delete all but the last folders written for an index, which nothing reads any more."""
+        paths = self.paths.get(name, [])
+        delete(self.spark, *paths[:-keep])
+        self.paths[name] = paths[-keep:]
+
+    def save(self, index: BitmapIndex, path: str, ready: bool = False) -> None:
         """Words sorted by (value, word_idx), live words by word_idx, and last the manifest, so
-        that a folder without one is no index."""
-        index.words.repartitionByRange("value", "word_idx").sortWithinPartitions("value", "word_idx").write.parquet(f"{path}/words")
-        index.live.repartitionByRange("word_idx").sortWithinPartitions("word_idx").write.parquet(f"{path}/live")
+        that a folder without one is no index. Sorting by range looks at its input twice, so words
+        that aren't `ready` but yet to be worked out are written as they come first."""
+        words = index.words if ready else self.written(index.words, f"{path}/raw")
+        words.repartitionByRange("value", "word_idx").sortWithinPartitions("value", "word_idx").write.parquet(f"{path}/words")
+        index.live.sortWithinPartitions("word_idx").write.parquet(f"{path}/live")
+        delete(self.spark, f"{path}/raw")
         row = (index.name, index.table, index.column, json.dumps(asdict(index.stats)), json.dumps(index.options))
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -140,9 +169,12 @@ class BitmapEngine:
         live = self.spark.read.schema("word_idx long, word long").parquet(f"{path}/live")
         return BitmapIndex(m["name"], m["table"], m["column"], words, live, Stats(**json.loads(m["stats"])), json.loads(m["options"]))
 
-    def load(self, path: str) -> BitmapIndex:
-        """An index saved before, into the catalog. Its table must be registered."""
-        index = self._read(path)
+    def load(self, path: str, name: str | None = None, table: str | None = None) -> BitmapIndex:
+        """An index saved before, into the catalog. Its table must be registered. Raises if the
+        folder holds no whole index, or another than that of the name and table asked for."""
+        index = self._read(path) if exists(self.spark, f"{path}/manifest") else None
+        if index is None or name not in (None, index.name) or table not in (None, index.table):
+            raise E.SerializationIndexError(E.INDEX_MISSING.format(name or path.rstrip("/").rpartition("/")[2], self.schema, table or "?"))
         if index.table not in self.tables:
             raise E.SerializationIndexError(E.TABLE_MISSING.format(self.schema, index.table, self.catalog))
         return self.replace_index(replace(index))

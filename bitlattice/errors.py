@@ -15,6 +15,7 @@ NAME_TAKEN = 'Index with name "{}" already exists!'
 INFO_MISSING = "Index {} not found"
 DUMP_MISSING = "Bitmap index {} not found"
 CONSTRAINT = "Constraint violation in Bitmap index"
+ROW_TWICE = "Row ids occur more than once among the rows of a bitmap index"
 TABLE_MISSING = "Could not find table {}.{} in catalog {}"
 INDEX_MISSING = "Could not find bitmap index {} on table {}.{}"
 
@@ -49,5 +50,9 @@ class BinderIndexError(IndexError_):
     kind = "Binder Error"
 
 
+class ConstraintIndexError(IndexError_):
+    kind = "Constraint Error"
+
+
 class SerializationIndexError(IndexError_):
     kind = "Serialization Error"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CONSTRAINT, KEY_RANGE, ONE_COLUMN, NotImplementedIndexError, OutOfRangeIndexError
+from ..errors import CONSTRAINT, KEY_RANGE, ONE_COLUMN, ROW_TWICE, ConstraintIndexError, NotImplementedIndexError, OutOfRangeIndexError
 from ..plans.bitmap import Bitmap
 from . import words as W
 
@@ -49,13 +49,29 @@ def keyed_rows(table: DataFrame, column: str) -> DataFrame:
     return out.withColumn("key", F.col("key").cast("int") if out.schema["key"].dataType.simpleString() == "boolean" else F.col("key"))
 
 
-def measured(keyed: DataFrame) -> Stats:
-    """The stats of (row_id, key) in one pass; raises if a key doesn't fit 32 bits."""
-    got = keyed.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max(F.when(F.col("key").isNotNull(), F.col("row_id"))).alias("row")).first()
+def aggregated(rows: DataFrame, column: str) -> DataFrame:
+    """(value, word_idx, word, n) of rows (with row_id) by an expression, rows whose key is null
+    under a null value; values are of the key's own type until :func:`measured` has seen them."""
+    return W.row_words(keyed_rows(rows, column).withColumnRenamed("key", "value"), "value")
+
+
+def measured(everything: DataFrame) -> Stats:
+    """The stats of what :func:`aggregated` gives; raises if a key doesn't fit 32 bits, or if a row
+    id occurs twice, as rows have no order by which one of them could win."""
+    top = F.col("word_idx") * 64 + F.length(F.bin("word")) - 1  # the highest bit of the word
+    each = everything.groupBy("word_idx").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("word")).alias("bits"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max(F.when(F.col("value").isNotNull(), top)).alias("row"))
+    got = each.agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("row").alias("row")).first()
     for end in (got["lo"], got["hi"]):
         if end is not None and not W.INT_MIN <= int(end) <= W.INT_MAX:
             raise OutOfRangeIndexError(KEY_RANGE.format(int(end)))
-    return Stats(got["n"], max(-1, -1 if got["hi"] is None else int(got["hi"])), -1 if got["row"] is None else got["row"])
+    if got["n"] != got["bits"]:
+        raise ConstraintIndexError(ROW_TWICE)
+    return Stats(got["n"] or 0, max(-1, -1 if got["hi"] is None else int(got["hi"])), -1 if got["row"] is None else got["row"])
+
+
+def valued(everything: DataFrame) -> DataFrame:
+    """The words of what :func:`aggregated` gives: rows whose key is null are in no bitmap."""
+    return everything.where("value IS NOT NULL").select(F.col("value").cast("int").alias("value"), "word_idx", "word")
 
 
 @dataclass(frozen=True)
@@ -110,6 +126,10 @@ class BitmapIndex:
         s = self.stats
         return self.distinct_values().select("distinct_value", F.lit(s.memory_bytes).cast("long").alias("bitmap_mem_size"), F.lit(s.bits).cast("long").alias("bitmap_bit_size"), F.lit(1.0).alias("compression_ratio"))
 
+    def at_most(self, value: int) -> DataFrame:
+        """(word_idx, word) of the rows with keys from 0 to the value, by the range encoding."""
+        return W.range_lookup(W.range_encoded(self.words), value)
+
     def scan(self) -> DataFrame:
         """(value, row_id) of every indexed row; order by both for value-major order."""
         return W.row_ids(self.words.where("value >= 0"))
@@ -155,23 +175,33 @@ class BitmapIndex:
 
     # -- maintenance
 
-    def append(self, rows: DataFrame) -> BitmapIndex:
-        """Set the keys of rows (row_id and the index's column), new ones or others' instead; a
-        null key takes the row out of all bitmaps."""
-        if len(rows.columns) != 2:
+    def delta(self, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """What :func:`aggregated` gives for rows (row_id and the index's column). With `order`, a
+        third column, the row that is last in it wins where a row id occurs more than once."""
+        columns = [c for c in rows.columns if c not in ("row_id", order)]
+        if len(columns) != 1:
             raise NotImplementedIndexError(ONE_COLUMN)
-        keyed = keyed_rows(rows, next(c for c in rows.columns if c != "row_id"))
-        stats = self.stats | measured(keyed)
-        touched = W.row_words(keyed)
+        if order:
+            rows = rows.groupBy("row_id").agg(F.max_by(columns[0], order).alias(columns[0]))
+        return aggregated(rows, f"`{columns[0]}`")
+
+    def append(self, rows: DataFrame, order: str | None = None) -> BitmapIndex:
+        """Set the keys of rows (row_id and the index's column), new ones or others' instead; a
+        null key takes the row out of all bitmaps. A row id that occurs more than once raises,
+        unless `order` names a column (see :meth:`delta`)."""
+        return self.append_delta(self.delta(rows, order))
+
+    def append_delta(self, delta: DataFrame) -> BitmapIndex:
+        stats, touched = self.stats | measured(delta), W.present(delta)
         kept = W.without(self.words, touched)
-        return replace(self, words=W.merge(kept, W.build(keyed)), live=W.merge(self.live, touched), stats=stats)
+        return replace(self, words=W.merge(kept, valued(delta)), live=W.merge(self.live, touched), stats=stats)
 
     insert = append
     update = append
 
     def delete(self, rows: DataFrame) -> BitmapIndex:
         """Without the rows (row_id, other columns ignored); sizes stay."""
-        gone = W.row_words(rows.select("row_id"))
+        gone = W.row_words(rows.select("row_id")).drop("n")
         return replace(self, words=W.without(self.words, gone), live=W.without(self.live, gone))
 
     def merge(self, other: BitmapIndex) -> BitmapIndex:
@@ -183,22 +213,30 @@ class BitmapIndex:
         """Words merged and those without a bit left out."""
         return replace(self, words=W.merge(self.words).where("word <> 0"), live=W.merge(self.live).where("word <> 0"))
 
+    def crowded(self) -> DataFrame:
+        """(word_idx) of the stretches with rows in several bitmaps: those with more bits than rows."""
+        bits = F.sum(F.bit_count("word").cast("long"))
+        return self.words.groupBy("word_idx").agg(bits.alias("bits"), F.bit_count(F.bit_or("word")).alias("rows")).where("bits <> rows").select("word_idx")
+
     def conflicts(self) -> DataFrame:
-        """(row_id, n) of rows that are in several bitmaps; empty for a sound index."""
-        return W.row_ids(self.words).groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1")
+        """(row_id, n) of rows that are in several bitmaps; empty for a sound index. Only words of
+        crowded stretches are expanded."""
+        return W.row_ids(self.words.join(self.crowded(), "word_idx", "left_semi")).groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1")
 
     def verify(self, only_verify: bool = False) -> str:
         """Raise if a row has two values; otherwise what the index holds, or '' with only_verify."""
-        if not self.conflicts().isEmpty():
-            raise NotImplementedIndexError(CONSTRAINT)
+        if not self.crowded().isEmpty():
+            raise ConstraintIndexError(CONSTRAINT)
         return "" if only_verify else f"Bitmap Index {self.name} (indexed values: {self.distinct_values().count()})"
 
 
-def create(name: str, table: str, column: str, rows: DataFrame, options: dict[str, str] | None = None) -> BitmapIndex:
-    """An index over rows (with row_id) by a column or expression."""
-    keyed = keyed_rows(rows, column)
-    stats = measured(keyed)
-    return BitmapIndex(name, table, column, W.build(keyed), W.row_words(rows.select("row_id")), stats, dict(options or {}))
+def create(name: str, table: str, column: str, rows: DataFrame, options: dict[str, str] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> BitmapIndex:
+    """An index over rows (with row_id) by a column or expression. keep: writes a DataFrame and
+    reads it back; then the table is scanned once."""
+    everything = aggregated(rows, column)
+    if keep:
+        everything = keep(everything)
+    return BitmapIndex(name, table, column, valued(everything), W.present(everything), measured(everything), dict(options or {}))
 
 
 def any_of(parts: Iterable[Bitmap]) -> Bitmap:

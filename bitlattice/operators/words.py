@@ -31,15 +31,15 @@ def bit_of(row_id: Column) -> Column:
 
 
 def row_words(rows: DataFrame, *by: str) -> DataFrame:
-    """(by..., word_idx, word) of the row ids in rows: one aggregation, combined before its shuffle
-    and the same however the rows are dealt."""
+    """(by..., word_idx, word, n) of the row ids in rows, n rows in each: one aggregation, combined
+    before its shuffle and the same however the rows are dealt."""
     bits = rows.select(*by, word_of(F.col("row_id")).alias("word_idx"), bit_of(F.col("row_id")).alias("bit"))
-    return bits.groupBy(*by, "word_idx").agg(F.bit_or("bit").alias("word"))
+    return bits.groupBy(*by, "word_idx").agg(F.bit_or("bit").alias("word"), F.count("*").alias("n"))
 
 
-def build(keyed: DataFrame) -> DataFrame:
-    """The words of (row_id, key): rows whose key is null are in no bitmap."""
-    return row_words(keyed.where("key IS NOT NULL").select("row_id", F.col("key").cast("int").alias("value")), "value")
+def present(words: DataFrame) -> DataFrame:
+    """(word_idx, word) of all rows in words, whatever their value."""
+    return words.groupBy("word_idx").agg(F.bit_or("word").alias("word"))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -71,10 +71,14 @@ def group_counts(words: DataFrame) -> DataFrame:
 
 
 def cumulative_counts(words: DataFrame) -> DataFrame:
-    """(value, n): rows of at most each value that occurs, negatives left out. The running sum is
-    over one row a value."""
-    counts = group_counts(words.where("value >= 0"))
-    return counts.select("value", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    """(value, n): rows of at most each value that occurs, negatives left out. Running sums inside
+    stretches of 2**16 values, and before them the sum of all earlier stretches: as keys have 31
+    bits, no more than 2**15 rows are in the one window that isn't partitioned."""
+    counts = group_counts(words.where("value >= 0")).withColumn("stretch", F.shiftright("value", 16))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.groupBy("stretch").agg(F.sum("n").alias("m")).select("stretch", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"))
+    inside = F.sum("n").over(Window.partitionBy("stretch").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select("value", "stretch", inside.alias("n")).join(F.broadcast(earlier), "stretch").select("value", (F.col("n") + F.col("m")).alias("n"))
 
 
 def range_encoded(words: DataFrame) -> DataFrame:
@@ -84,6 +88,12 @@ def range_encoded(words: DataFrame) -> DataFrame:
     return words.where("value >= 0").select("value", "word_idx", F.bit_or("word").over(order).alias("word"))
 
 
+def range_lookup(encoded: DataFrame, value: int) -> DataFrame:
+    """(word_idx, word) of the rows of at most a value, from the range encoding: in each stretch of
+    rows the bitmap of the value, or where it doesn't occur there of the next smaller one."""
+    return encoded.where(F.col("value") <= value).groupBy("word_idx").agg(F.max_by("word", "value").alias("word"))
+
+
 def values_of(words: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (row_id) with the value of each, null where it has none."""
     want = rows.select("row_id").distinct().withColumn("word_idx", word_of(F.col("row_id"))).withColumn("bit", F.pmod("row_id", F.lit(64)).cast("int"))

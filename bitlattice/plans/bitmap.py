@@ -43,13 +43,17 @@ class Bitmap:
         return W.row_ids(self.true)
 
     def fetch(self, table: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-        """The table's rows (with row_id) in the bitmap. Adaptive execution broadcasts the ids if
-        there are few; of a table materialised in buckets of bucket_rows only the directories that
-        hold some of them are read."""
-        ids = self.row_ids()
-        if "row_bucket" not in table.columns:
-            return table.join(ids, "row_id", "left_semi")
-        return table.join(ids.withColumn("row_bucket", F.expr(f"row_id div {bucket_rows}")), ["row_bucket", "row_id"], "left_semi")
+        """The table's rows (with row_id) in the bitmap. Rows look up their word, so that a bitmap
+        of most rows costs a join with one row for 64 of them, and none is expanded into row ids.
+        Adaptive execution broadcasts the words if there are few; of a table materialised in
+        buckets of bucket_rows only the directories that hold some of them are read."""
+        words = self.true.select(F.col("word_idx").alias("_at"), F.col("word").alias("_word"))
+        on = W.word_of(F.col("row_id")) == F.col("_at")
+        if "row_bucket" in table.columns:
+            words = words.withColumn("_bucket", F.expr(f"_at * 64 div {bucket_rows}"))
+            on = (F.col("row_bucket") == F.col("_bucket")) & on
+        hit = F.getbit("_word", F.pmod("row_id", F.lit(64)).cast("int")) == 1
+        return table.join(words, on).where(hit).select(*(f"`{c}`" for c in table.columns))
 
 
 def _meet(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -33,9 +33,13 @@ def _engine(spark: SparkSession, sf: str, *tables: str) -> BitmapEngine:
     return engine
 
 
-def _index(spark: SparkSession, sf: str, table: str, column: str) -> tuple[BitmapEngine, BitmapIndex]:
+def _index(spark: SparkSession, sf: str, table: str, column: str, store: bool = False) -> tuple[BitmapEngine, BitmapIndex]:
+    """An index over a table; stored, it is read from files by value, and the table in buckets of
+    row ids of which only those with hits are read."""
     engine = _engine(spark, sf, table)
-    return engine, engine.create_index("i", table, column, store=False)
+    if store:
+        engine.register_table(table, engine.tables[table], materialized=True)
+    return engine, engine.create_index("i", table, column, store=store)
 
 
 # -- scalar functions
@@ -71,7 +75,8 @@ def index_info(spark, sf):
 SELECT DISTINCT p_size::VARCHAR AS distinct_value, (8 * w)::BIGINT AS bitmap_mem_size, (64 * w)::BIGINT AS bitmap_bit_size, 1.0::DOUBLE AS compression_ratio FROM part, s""")
 def index_dump(spark, sf):
     engine, _ = _index(spark, sf, "part", "p_size")
-    return engine.index_dump("i")
+    engine.register_functions()
+    return spark.sql("SELECT * FROM bitmap_index_dump('i')")
 
 
 @query("SELECT DISTINCT o_custkey::VARCHAR AS distinct_value FROM orders")
@@ -114,6 +119,13 @@ def range_encoding(spark, sf):
     return words.select("value", "word_idx", F.lpad(F.hex("word"), 16, "0").alias("word"))
 
 
+@query("WITH r AS (SELECT label, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings) SELECT row_id FROM r WHERE 2 * label <= 7")
+def range_lookup(spark, sf):
+    """Up to a value that no key has."""
+    i = _index(spark, sf, "embeddings", "2 * label", store=True)[1]
+    return W.row_ids(i.at_most(7))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN user_id END AS value FROM (SELECT event_id, user_id::INTEGER AS user_id FROM events)")
 def get_value(spark, sf):
     engine, _ = _index(spark, sf, "events", "IF(event_id % 3 = 1, NULL, user_id)")
@@ -135,25 +147,25 @@ def evaluate_range_count(spark, sf):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 77")
 def scan_eq(spark, sf):
-    engine, i = _index(spark, sf, "orders", "o_custkey")
+    engine, i = _index(spark, sf, "orders", "o_custkey", store=True)
     return engine.index_scan("i", i.eq(77), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (3, 14, 159, 1400)")
 def scan_in(spark, sf):
-    engine, i = _index(spark, sf, "orders", "o_custkey")
+    engine, i = _index(spark, sf, "orders", "o_custkey", store=True)
     return engine.index_scan("i", i.isin(3, 14, 159, 1400), ["o_orderkey", "o_custkey"])
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 19")
 def scan_range(spark, sf):
-    engine, i = _index(spark, sf, "part", "p_size")
+    engine, i = _index(spark, sf, "part", "p_size", store=True)
     return engine.index_scan("i", i.between(10, 19), ["p_partkey", "p_size"])
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE NOT (p_size < 45 OR p_size = 47)")
 def scan_not(spark, sf):
-    engine, i = _index(spark, sf, "part", "p_size")
+    engine, i = _index(spark, sf, "part", "p_size", store=True)
     return engine.index_scan("i", ~(i.lt(45) | i.eq(47)), ["p_partkey", "p_size"])
 
 
@@ -238,6 +250,15 @@ def after_update(spark, sf):
     return _over(engine, "all", rows).update(new).group_counts()
 
 
+@query("SELECT (user_id + CASE WHEN event_id % 3 = 0 THEN 2000 ELSE 0 END)::INTEGER AS value, count(*) AS n FROM events GROUP BY 1")
+def after_repeated_update(spark, sf):
+    """A third of the rows change twice in one batch; the later change wins."""
+    rows, engine = _events(spark, sf)
+    third = rows.where("event_id % 3 = 0")
+    twice = third.selectExpr("row_id", "user_id + 1000 AS user_id", "1 AS at").unionByName(third.selectExpr("row_id", "user_id + 2000 AS user_id", "2 AS at"))
+    return _over(engine, "all", rows).update(twice, order="at").group_counts()
+
+
 @query("SELECT user_id::INTEGER AS value, count(*) AS n FROM events GROUP BY 1")
 def after_merge(spark, sf):
     rows, engine = _events(spark, sf)
@@ -277,6 +298,11 @@ def index_semi_join_agg(spark, sf):
 
 
 @query("""SELECT * FROM (VALUES ('arity','Not implemented Error: Bitmap indexes currently support a single key column'),
+('append arity','Not implemented Error: Bitmap index currently supports single-column indexes'),
+('changed','TransactionContext Error: Transaction conflict: cannot add an index to a table that has been altered or dropped'),
+('drop','Catalog Error: Index nothing not found'),
+('load index','Serialization Error: Could not find bitmap index nothing on table main.part'),
+('load table','Serialization Error: Could not find table main.part in catalog memory'),
 ('duplicate','Catalog Error: Index with name "i" already exists!'),
 ('range','Out of Range Error: Bitmap index value 2147483648 exceeds 32-bit storage bounds'),
 ('type','Not implemented Error: Bitmap index currently supports only integer-like types'),
@@ -284,6 +310,7 @@ def index_semi_join_agg(spark, sf):
 ('unknown','Binder Error: Bitmap index nothing not found')) t(kind, message)""")
 def error_messages(spark, sf):
     engine, _ = _index(spark, sf, "part", "p_size")
+    engine.save(engine.index("i"), saved := f"{engine.root}/saved")
     create = lambda *c, **k: engine.create_index("x", "part", *c, store=False, **k)
     cases = {
         "arity": lambda: create("p_size", "p_partkey"),
@@ -292,6 +319,11 @@ def error_messages(spark, sf):
         "type": lambda: create("p_name"),
         "unique": lambda: create("p_size", unique=True),
         "unknown": lambda: engine.index_dump("nothing"),
+        "append arity": lambda: engine.index("i").append(spark.createDataFrame([], "row_id long, a int, b int")),
+        "changed": lambda: create("p_size", version=engine.versions["part"] - 1),
+        "drop": lambda: engine.drop_index("nothing"),
+        "load index": lambda: engine.load(saved, "nothing", "part"),
+        "load table": lambda: BitmapEngine(spark).load(saved),
     }
     found = []
     for kind, f in cases.items():

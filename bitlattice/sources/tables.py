@@ -25,8 +25,10 @@ def read_with_row_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Write df (with row_id) in directories of bucket_rows row ids and read it back: joins on
-    (row_bucket, row_id) then only read the directories that they need."""
+    """Write df (with row_id) in directories of bucket_rows row ids, a multiple of 64, and read it
+    back: a fetch then only reads the directories that it needs."""
+    if bucket_rows % 64:
+        raise ValueError(f"bucket_rows must be a multiple of 64, not {bucket_rows}")
     out = df.withColumn("row_bucket", F.expr(f"row_id div {bucket_rows}"))
     out.repartition("row_bucket").sortWithinPartitions("row_id").write.mode("overwrite").partitionBy("row_bucket").parquet(path)
     return df.sparkSession.read.parquet(path).withColumn("row_bucket", F.col("row_bucket").cast("long"))

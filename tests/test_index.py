@@ -1,6 +1,7 @@
 """The bitmap index against plain filters, a simulation of the dense store, and fixed expectations."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,12 +215,30 @@ def test_merge_and_conflicts(spark):
     _, b = engine_of(spark, [3])
     assert as_dict(a.merge(b)) == {0: 3, 1: 2}
     bad = type(a)(a.name, a.table, a.column, a.words.union(b.words), a.live, a.stats)
-    with pytest.raises(E.NotImplementedIndexError, match="Constraint violation in Bitmap index"):
+    assert [tuple(r) for r in bad.conflicts().collect()] == [(0, 2)]
+    with pytest.raises(E.ConstraintIndexError, match="Constraint violation in Bitmap index"):
         bad.verify()
     with pytest.raises(E.NotImplementedIndexError, match="single-column indexes"):
         a.append(spark.createDataFrame([(1, 2, 3)], "row_id long, key int, other int"))
 
 
+def test_repeated_row_ids(spark):
+    """Rows have no order, so they raise, unless a column gives one; then the last one wins."""
+    _, i = engine_of(spark, [1, 2])
+    twice = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, None, 3), (2, 9, 2)], "row_id long, key int, at int")
+    with pytest.raises(E.ConstraintIndexError, match="more than once"):
+        i.append(twice.drop("at"))
+    with pytest.raises(E.ConstraintIndexError):
+        engine_of(spark, []) and BitmapEngine(spark).register_table("t", twice) and _create_over(spark, twice)
+    assert as_dict(i.append(twice, order="at")) == {0: 1, 1: 8}
+
+
+def _create_over(spark, rows):
+    engine = BitmapEngine(spark)
+    engine.register_table("t", rows)
+    return engine.create_index("i", "t", "key")
+
+
 def test_deletes_keep_sizes(spark):
     _, i = engine_of(spark, [1] * 70)
     assert i.delete(table(spark, range(70))).stats == i.stats
@@ -232,6 +251,23 @@ def test_range_encoding(spark):
     assert got == {(v, r) for v in (0, 1, 3) for r, k in enumerate(keys) if k is not None and k <= v}
 
 
+def test_range_lookup_falls_back(spark):
+    """Values that don't occur take the next smaller one's bitmap, in each stretch of rows."""
+    rng = random.Random(1)
+    keys = [rng.choice([None, -2, *range(0, 40, 3)]) for _ in range(200)]
+    _, i = engine_of(spark, keys)
+    for v in (-1, 0, 1, 2, 17, 39, 1000):
+        assert sorted(r["row_id"] for r in W.row_ids(i.at_most(v)).collect()) == [r for r, k in enumerate(keys) if k is not None and 0 <= k <= v]
+
+
+def test_cumulative_counts_of_large_values(spark):
+    rng = random.Random(2)
+    keys = [rng.choice([0, 65535, 65536, 70000, 2**20, 2**31 - 1, -5, None]) for _ in range(300)]
+    _, i = engine_of(spark, keys)
+    want = {v: sum(k is not None and 0 <= k <= v for k in keys) for v in {k for k in keys if k is not None and k >= 0}}
+    assert {r["value"]: r["n"] for r in i.cumulative_counts().collect()} == want
+
+
 # -- tables, persistence, streams
 
 
@@ -242,11 +278,48 @@ def test_row_ids_of_many_files(spark, tmp_path):
 
 
 def test_materialised_buckets(spark, tmp_path):
-    df = materialize(spark.range(100).selectExpr("id AS row_id", "CAST(id % 3 AS int) AS key"), f"file://{tmp_path}/m", 16)
+    df = materialize(spark.range(400).selectExpr("id AS row_id", "CAST(id % 3 AS int) AS key"), f"file://{tmp_path}/m", 64)
     engine = BitmapEngine(spark)
     engine.register_table("t", df)
     i = engine.create_index("i", "t", "key", store=False)
-    assert sorted(r["row_id"] for r in i.eq(2).fetch(df, 16).collect()) == list(range(2, 100, 3))
+    assert sorted(r["row_id"] for r in i.eq(2).fetch(df, 64).collect()) == list(range(2, 400, 3))
+    with pytest.raises(ValueError, match="multiple of 64"):
+        materialize(df, f"file://{tmp_path}/n", 100)
+
+
+def test_fetch_reads_few_buckets(spark, tmp_path):
+    df = materialize(spark.range(6400).selectExpr("id AS row_id", "CAST(id AS int) AS key"), f"file://{tmp_path}/m", 64)
+    engine = BitmapEngine(spark)
+    engine.register_table("t", df)
+    got = engine.create_index("i", "t", "key").eq(777).fetch(df, 64)
+    assert [r["key"] for r in got.collect()] == [777]
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def files_under(path):
+    return [p for p in Path(path.removeprefix("file://")).rglob("*.parquet") if p.suffix == ".parquet" and p.is_file()]
+
+
+def test_drop_frees_files(spark, tmp_path):
+    engine = BitmapEngine(spark, f"file://{tmp_path}/e")
+    engine.register_table("t", table(spark, [1, 2]), materialized=True)
+    for name in "ij":
+        engine.create_index(name, "t", "key")
+    assert not [p for p in files_under(engine.root) if "raw" in str(p)]
+    engine.drop_index("i")
+    left = files_under(engine.root)
+    assert left and not [p for p in left if "/i-" in str(p)] and engine.index("j").group_counts().count() == 2
+    engine.drop_table("t")
+    assert not files_under(engine.root)
+
+
+def test_stored_index_scans_its_table_once(spark, tmp_path):
+    """The rows are read for the words alone; sizes and sorting work on those."""
+    seen = spark.sparkContext.accumulator(0)
+    source = spark.range(0, 64, 1, 1).rdd.map(lambda r: (seen.add(1), (r["id"], 3))[1])
+    engine = BitmapEngine(spark, f"file://{tmp_path}/e")
+    engine.register_table("t", spark.createDataFrame(source, "row_id long, key int"))
+    assert engine.create_index("i", "t", "key").eq(3).count().first()["n"] == 64 and seen.value == 64
 
 
 def test_save_and_load(spark, tmp_path):
@@ -257,6 +330,10 @@ def test_save_and_load(spark, tmp_path):
     assert as_dict(back) == {0: 1, 2: 2} and back.stats == i.stats and engine.index("i") is back
     with pytest.raises(E.SerializationIndexError, match="Could not find table main.t in catalog memory"):
         BitmapEngine(spark).load(f"file://{tmp_path}/i")
+    with pytest.raises(E.SerializationIndexError, match=r"Could not find bitmap index j on table main\.t"):
+        engine.load(f"file://{tmp_path}/i", "j", "t")
+    with pytest.raises(E.SerializationIndexError, match="Could not find bitmap index nothing on table main"):
+        engine.load(f"file://{tmp_path}/nothing")
 
 
 def test_point_filter_reaches_the_scan(spark):
@@ -274,14 +351,18 @@ def test_no_python_in_plans(spark):
 
 def test_stream(spark, tmp_path):
     source, schema = f"file://{tmp_path}/in", "row_id long, key int"
-    for k in range(3):
-        spark.createDataFrame([(10 * k + j, j) for j in range(5)], schema).coalesce(1).write.mode("append").parquet(source)
-    engine = BitmapEngine(spark)
+    for k in range(5):
+        rows = [(10 * k + j, j) for j in range(5)] + [(0, k)]
+        spark.createDataFrame(rows[k == 0 :], schema).coalesce(1).write.mode("append").parquet(source)
+    engine = BitmapEngine(spark, f"file://{tmp_path}/e")
     engine.register_table("t", spark.createDataFrame([], schema))
     engine.create_index("i", "t", "key")
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    append_stream(engine, "i", rows).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start().awaitTermination()
-    assert {r["value"]: r["n"] for r in engine.index("i").group_counts().collect()} == dict.fromkeys(range(5), 3)
+    append_stream(engine, "i", rows, 2).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start().awaitTermination()
+    got = as_dict(engine.index("i"))
+    assert got.keys() == {10 * k + j for k in range(5) for j in range(5)} and all(got[r] == r % 10 for r in got if r) and got[0] in range(1, 5)
+    # One whole index and the words of the one batch since.
+    assert len(list((tmp_path / "e").glob("i-*"))) == 2 and len(list((tmp_path / "e").glob("i-delta-*"))) == 1
 
 
 # -- scalar functions

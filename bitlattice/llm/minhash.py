@@ -212,8 +212,14 @@ def confirmed(families: DataFrame, docs: DataFrame, percent: int, words: int) ->
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(member, "doc_id")
     sets = cut(texts.mapInPandas(_sets(words), "family long, rep long, s binary"), "sets")
     release(spark)
-    heads = sets.where("rep = family").select("family", F.col("s").alias("head"))
-    judged = cut(sets.where("rep <> family").join(heads, "family").mapInPandas(_to_head(percent), "family long, rep long, linked boolean, near boolean").distinct(), "judged")
+    # A family that has more than a 4 * partitions-th of all members, so one of fewer than that many,
+    # is dealt to several tasks, each with a copy of its head.
+    share = max(BLOCK, member.count() // (4 * partitions(spark)))
+    big = member.groupBy("family").agg(F.ceil(F.count("*") / share).cast("int").alias("salts")).where("salts > 1")
+    salted = sets.join(F.broadcast(big), "family", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    heads = salted.where("rep = family").select("family", F.col("s").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    others = salted.where("rep <> family").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int"))
+    judged = cut(others.join(heads, ["family", "salt"]).mapInPandas(_to_head(percent), "family long, rep long, linked boolean, near boolean").distinct(), "judged")
     links = judged.where("linked").select(F.col("family").alias("a"), F.col("rep").alias("b"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     rest, near = ~F.col("linked"), ~F.col("linked") & F.col("near")

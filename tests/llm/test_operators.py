@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitlattice.llm import crf, minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
+from bitlattice.llm import components, crf, minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
 from bitlattice.llm.common import read
 from bitlattice.llm.components import connected_components
 from bitlattice.llm.queries import ORACLE, QUERIES, tokenizer_path
@@ -115,9 +115,11 @@ def test_url_filter_is_native(spark, sf):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_components(spark, seed):
+def test_components(spark, monkeypatch, seed):
+    monkeypatch.setattr(components, "FEWEST", 3)
     rng = random.Random(seed)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(None, 3), (5, 5)]
+    edges += [(300, k) for k in range(301, 500)] + [(900, k) for k in range(600, 800)] + [(777, 444)]  # hubs
     root = {}
 
     def find(x):

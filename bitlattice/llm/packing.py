@@ -32,7 +32,8 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer file, strings of special tokens being ordinary text.
+    """Ids of texts as by tokenizers' encode(text, add_special_tokens=False): a special token that
+    stands in the text as such has its one id.
 
     Where each merge makes a larger id than the one before it, merging in order of ids is the same
     as in order of merges; tiktoken does that some four times as fast as tokenizers, with the same
@@ -46,20 +47,20 @@ class Encoder:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", ())]
         made = [vocabulary.get("".join(m), -1) for m in merges]
         split = spec.get("pre_tokenizer") or {}
-        plain = spec["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
+        added = spec.get("added_tokens", ())
+        loose = any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        plain = not loose and spec["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
         if plain and made and made[0] >= 0 and all(x < y for x, y in pairwise(made)):
             import tiktoken
 
-            special = {t["content"] for t in spec.get("added_tokens", ()) if t.get("special")}
-            byte = _byte_of_symbol()
+            special, byte = {t["content"]: t["id"] for t in added}, _byte_of_symbol()
             ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
-            fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda text: fast.encode_to_numpy(text, disallowed_special=())
+            fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+            self.encode = lambda text: fast.encode_to_numpy(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
             self.encode = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def __call__(self, text: str) -> bytes:

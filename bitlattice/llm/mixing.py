@@ -60,7 +60,7 @@ def source_targets(items: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
 
 def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = None, seed: int = 17, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, row: Sequence[str] = ()) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, epochs, picked, copies, taken, and
-    the columns `row`, which tell rows of equal doc_id apart.
+    the columns `row`, which tell rows of equal doc_id and text apart.
 
     A source's target is so many complete epochs and a rest. Every document is taken once for each
     epoch; for the rest, documents are drawn without replacement with probability by quality
@@ -69,13 +69,14 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     at most, unless it is smaller than that.
 
     Null text has size 0; null sources are a source of their own; repeated rows are documents of
-    their own (equal keys, in the order of `row`, else any); an empty table gives no rows. Reruns agree: u hangs on
-    doc_id and seed alone. Other columns are ignored.
+    their own, each with copies of its own; those of one doc_id, or without, but of other texts have keys of their
+    own, so that no id's rows stand in one run, and only rows equal in both have equal keys (in the order of
+    `row`, else any). An empty table gives no rows. Reruns agree: u hangs on doc_id, text and seed alone. Other columns are ignored.
     """
     spark = docs.sparkSession
     weight = quality_weight(F.col("text")) if weight is None else weight
     size = n_words(F.col("text")) if size is None else size
-    items = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(seed, F.col("doc_id"))) / weight).alias("key"), *row)
+    items = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))) / weight).alias("key"), *row)
     items = cut(items, "mix-items")
     runs = items.repartitionByRange(partitions(spark), F.asc_nulls_last("source"), "key", "doc_id", *row).withColumn("run", F.spark_partition_id())
     runs = cut(runs, "mix-runs")

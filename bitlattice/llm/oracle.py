@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .mixing import SYMBOLS, WEIGHTS
+from .suffix_dedup import LENGTH, PASSAGE_WORDS
 from .url_filter import RULES
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,18 @@ def _ruled(table: str, key: str) -> str:
     return f"SELECT x.{key}, r.rule, r.v FROM {table} x JOIN rules r ON (x.host = r.domain OR ends_with(x.host, '.' || r.domain)) AND starts_with(x.path, r.path) QUALIFY row_number() OVER (PARTITION BY x.{key} ORDER BY length(r.rule) DESC, r.v, r.rule) = 1"
 
 
+def _no_dots(path: str) -> str:
+    kept = f"list_reduce(list_transform(string_split({path}, '/')[2:], lambda x: [x]), lambda kept, x: CASE WHEN x[1] = '..' THEN kept[:len(kept) - 1] WHEN x[1] = '.' THEN kept ELSE kept || x END, []::VARCHAR[])"
+    return rf"CASE WHEN regexp_matches({path}, '/\.\.?(/|$)') THEN '/' || array_to_string({kept} || CASE WHEN regexp_matches({path}, '/\.\.?$') THEN [''] ELSE []::VARCHAR[] END, '/') ELSE {path} END"
+
+
+def _resolved(url: str, to: str) -> str:
+    own, path = f"regexp_extract({to}, '^([^?#]*)', 1)", f"({_path(url)})"
+    joined = f"CASE WHEN starts_with({own}, '/') THEN {own} ELSE '/' || regexp_extract({path}, '(?s)^/(.*/)', 1) || {own} END"
+    full = f"CASE WHEN {own} = '' THEN {path} ELSE {_no_dots(f'({joined})')} END"
+    return rf"CASE WHEN starts_with({to}, '//') THEN regexp_extract({url}, '(?s)^(.*?:)//', 1) || {to} WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {to} ELSE regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || ({full}) || regexp_extract({to}, '(?s)^[^?#]*(.*)', 1) END"
+
+
 URL_FILTER = rf"""
 WITH RECURSIVE rules(domain, path, v, rule) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in RULES)}),
 base AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_address("url")} AS node FROM pages),
@@ -41,7 +54,8 @@ tags AS (
   SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\brel\s*=\s*["'']?canonical\b') AND regexp_matches(x, '(?i)\bhref\s*=\s*["'']?[^"''\s>]'))[1], '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM pages
   UNION ALL
   SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') AND regexp_matches(x, '(?i)\burl\s*=\s*[^"''\s>]'))[1], '(?i)\burl\s*=\s*([^"''\s>]+)', 1) FROM pages),
-links AS (SELECT url, CASE WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target ELSE target END AS target FROM tags WHERE target <> ''),
+decoded AS (SELECT url, replace(target, '&amp;', '&') AS target FROM tags WHERE target <> ''),
+links AS (SELECT url, {_resolved("url", "target")} AS target FROM decoded),
 edges AS (SELECT {_address("url")} AS a, {_address("target")} AS b FROM links),
 both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
@@ -67,7 +81,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 MIXING = rf"""
 WITH items AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size,
-    -ln(((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / {float(2**52)!r})
+    -ln(((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT)::DOUBLE + 0.5) / {float(2**52)!r})
     / CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(translate(text, '{SYMBOLS}', ''))) / length(text)) ELSE 1.0::DOUBLE END AS key
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w FROM items GROUP BY source),
@@ -94,4 +108,22 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
   CASE WHEN page_id = last THEN true END AS verified
 FROM p JOIN g USING (h)"""
 
-ORACLE: dict[str, str] = {"op1_url_filter": URL_FILTER, "op4_minhash": NEAR_DUPLICATES, "op6_mixing": MIXING, "op9_warc": WARC}
+PASSAGES = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents),
+hexed AS (SELECT r, hex(b) AS h, octet_length(b)::BIGINT AS n FROM texts),
+strings AS (
+  SELECT 'bytes' AS kind, r, s, md5_number(substr(h, 2 * s + 1, {2 * LENGTH})) AS k FROM (SELECT r, h, unnest(range(n - {LENGTH - 1})) AS s FROM hexed)
+  UNION ALL
+  SELECT 'words', r, s, md5_number(array_to_string(w[s + 1:s + {PASSAGE_WORDS}], ' ')) FROM (SELECT r, w, unnest(range(len(w) - {PASSAGE_WORDS - 1})) AS s FROM texts)),
+twice AS (SELECT kind, k FROM strings GROUP BY kind, k HAVING count(*) > 1),
+hits AS (SELECT kind, r, s, s + CASE kind WHEN 'bytes' THEN {LENGTH} ELSE {PASSAGE_WORDS} END AS e FROM strings SEMI JOIN twice USING (kind, k)),
+marked AS (SELECT *, coalesce(s > lag(e) OVER (PARTITION BY kind, r ORDER BY s), true)::INTEGER AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY kind, r ORDER BY s) AS g FROM marked),
+spans AS (SELECT kind, r, min(s) AS s, max(e) AS e FROM numbered GROUP BY kind, r, g),
+of_text AS (SELECT kind, r, sum(e - s)::BIGINT AS gone, count(*) AS n_spans, [0] || list(e ORDER BY s) AS starts, list(s ORDER BY s) AS ends FROM spans GROUP BY kind, r)
+SELECT doc_id, n AS n_bytes, coalesce(x.gone, 0)::BIGINT AS n_removed, coalesce(x.n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN x.r IS NULL THEN b ELSE unhex(array_to_string(list_transform(list_zip(x.starts, x.ends || [n]), lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '')) END) AS kept_sha256,
+  coalesce(y.gone, 0)::BIGINT AS n_repeated_words
+FROM texts JOIN hexed USING (r) LEFT JOIN (FROM of_text WHERE kind = 'bytes') x USING (r) LEFT JOIN (FROM of_text WHERE kind = 'words') y USING (r)"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": URL_FILTER, "op4_minhash": NEAR_DUPLICATES, "op6_mixing": MIXING, "op9_warc": WARC, "op10_suffix_dedup": PASSAGES}

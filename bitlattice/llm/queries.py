@@ -60,11 +60,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"), "verified")
 
 
-PASSAGE_WORDS = 50  # of a run of words that counts as a repeated passage, at least
-
-
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), count_words=PASSAGE_WORDS)
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), count_words=suffix_dedup.PASSAGE_WORDS)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 

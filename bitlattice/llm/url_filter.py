@@ -32,9 +32,29 @@ def address(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), path_of(url), F.regexp_extract(url, _SPLIT, 3)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from / without its . and .. steps."""
+    steps = F.split(path, "/")
+    steps = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    folder = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(kept, folder), "/"))).otherwise(path)
+
+
+def resolve(url: Column, to: Column) -> Column:
+    """A target as found on the page of a url: absolute, or relative to its scheme, host, folder or path."""
+    root, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    own, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)", 1))
+    full = F.when(own == "", path).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(folder, own)))
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    return F.when(to.startswith("//"), F.concat(scheme, to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to).otherwise(F.concat(root, full, tail))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's address and that of its canonical link or its meta-refresh target.
-    Targets that begin with / are taken on the page's host; other relative ones are no edges."""
+    """(a, b): each page's address and that of its canonical link or its meta-refresh target, which
+    may be relative."""
     html = F.col("html")
     canonical = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)", 1)
@@ -42,8 +62,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     canonical = F.when(F.lower(html).contains("canonical"), canonical)
     refresh = F.when(F.lower(html).contains("http-equiv"), refresh)
     found = pages.select("url", F.explode(F.filter(F.array(canonical, refresh), lambda x: x.isNotNull() & (x != ""))).alias("to"))
-    root = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.col("to"))).when(F.col("to").startswith("/"), F.concat(root, F.col("to"))).otherwise(F.col("to"))
+    to = resolve(F.col("url"), F.replace("to", F.lit("&amp;"), F.lit("&")))
     return found.select(address(F.col("url")).alias("a"), address(to).alias("b")).where("a <> b")
 
 

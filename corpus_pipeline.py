@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from bitlattice.llm import minhash, mixing, packing, suffix_dedup, toxicity
 from bitlattice.llm.common import cut, read, release
-from bitlattice.llm.queries import PASSAGE_WORDS, tokenizer_path
+from bitlattice.llm.queries import tokenizer_path
+from bitlattice.llm.suffix_dedup import PASSAGE_WORDS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILARITY = 80  # percent of common word shingles from which on documents are near duplicates

@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, partitions, release
@@ -16,7 +16,8 @@ from .components import connected_components
 from .textbytes import U, mix, word_hashes
 
 COORDINATES, ROWS = 32, 4  # coordinates of a signature, and min-hashes combined in each
-BLOCK = 1024  # documents of a posting list that are compared with as many others at once
+BLOCK = 1024  # documents of a posting list that are compared with as many others at once, at most
+SPREAD = 8  # blocks that smaller lists are split into, so that several tasks share their pairs
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 2**63, COORDINATES * ROWS, dtype=U) * U(2) + U(1)
@@ -88,6 +89,11 @@ def _sets(words: int):
     return sets
 
 
+def _blocks(n: Column) -> Column:
+    """How many blocks n documents make: of BLOCK each, but up to SPREAD smaller ones first."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.lit(SPREAD), F.ceil(n * SPREAD / BLOCK))).cast("int")
+
+
 def _by_group(keys: list[str], of_group):
     """A function for mapInPandas over rows sorted by keys; a group that goes on in the next batch
     waits for it."""
@@ -225,8 +231,7 @@ def confirmed(families: DataFrame, docs: DataFrame, percent: int, words: int) ->
     rest, near = ~F.col("linked"), ~F.col("linked") & F.col("near")
     sizes = judged.groupBy("family").agg(count(rest).alias("n_rest"), count(near).alias("n_near"), count(F.col("linked")).alias("n_linked"))
     sizes = sizes.where("n_rest > 1 OR n_near > 0 AND n_linked > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = judged.join(sizes, "family").withColumn("rest_blocks", blocks("n_rest")).withColumn("linked_blocks", F.when(F.col("n_near") > 0, blocks("n_linked")).otherwise(0))
+    rows = judged.join(sizes, "family").withColumn("rest_blocks", _blocks(F.col("n_rest"))).withColumn("linked_blocks", F.when(F.col("n_near") > 0, _blocks(F.col("n_linked"))).otherwise(0))
     # Blocks of the rest are numbered from 0, those of linked members from -1 down.
     block = F.when(rest, F.pmod(F.xxhash64("rep"), "rest_blocks").cast("int")).otherwise(-1 - F.pmod(F.xxhash64("rep"), F.greatest("linked_blocks", F.lit(1))).cast("int"))
     rows = rows.withColumn("block", block)
@@ -293,8 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     listed = cut(listed, "listed")
     per_family = listed.groupBy("key", "family").agg(F.count("*").alias("c"))
     mixed = per_family.groupBy("key").agg(F.max(F.struct("c", "family")).alias("most"), F.sum("c").alias("n")).where("n > most.c")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("key", F.col("most.family").alias("main"), blocks(F.col("most.c")).alias("main_blocks"), blocks(F.col("n") - F.col("most.c")).alias("rest_blocks"))
+    mixed = mixed.select("key", F.col("most.family").alias("main"), _blocks(F.col("most.c")).alias("main_blocks"), _blocks(F.col("n") - F.col("most.c")).alias("rest_blocks"))
     # Blocks of the rest are numbered from 0, those of the largest family from -1 down.
     rows, rest = listed.join(mixed, "key"), F.col("family") != F.col("main")
     block = F.when(rest, F.pmod(F.xxhash64("rep"), "rest_blocks")).otherwise(-1 - F.pmod(F.xxhash64("rep"), "main_blocks")).cast("int")

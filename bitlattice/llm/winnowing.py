@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sampled_bounds
+from .common import partitions
 from .textbytes import BASE, U, mix, powers
 
 GRAM, WINDOW = 16, 40  # characters of a k-gram, and k-grams in a window
@@ -80,6 +80,23 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - len(text) // 4] + after[: len(text) // 4]
 
 
+def _order_keys(d: pd.Series, h: pd.Series) -> np.ndarray:
+    """Sixteen bytes a row that sort as (id, hash of the text) do."""
+    out = np.empty((len(d), 2), dtype=">u8")
+    for k, c in enumerate((d, h)):
+        out[:, k] = c.to_numpy(np.int64).view(U) ^ U(2**63)
+    return out.view("S16").ravel()
+
+
+def _bounds(rows: DataFrame, parts: int, n: int, each: int = 20) -> np.ndarray:
+    """Up to parts - 1 ascending splitters of n rows (d, h) into ranges of like size, from a sample
+    of about `each` rows a range."""
+    share = each * parts / max(n, 1)
+    some = (rows.sample(share, 1) if share < 1 else rows).select("d", "h").toPandas()
+    found = np.sort(_order_keys(some["d"], some["h"]))
+    return np.unique(found[(len(found) * np.arange(1, parts)) // parts]) if len(found) else found
+
+
 def _neighbours(gram: int, window: int):
     """For ranges of documents in order, each with the first document of the next range behind it
     as a guest: every document with the one that follows it. Only one document is held."""
@@ -116,33 +133,35 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     range also gets the first document of the next one, so that texts are shuffled once and no
     window spans the table. A range is sorted by Spark, which spills, and read in a stream. Only
     some ids a partition (splitters, first ids) meet in the driver.
-    Null text counts as empty. Rows with null doc_id come first; rows with equal doc_id are in the
-    order of their texts. A table of one row is its own next; an empty table gives no rows; other
+    Null text counts as empty. Rows with null doc_id come first; rows with equal doc_id, or none,
+    are in the order of their texts' hashes, by which ranges are split too, so that only rows equal
+    in both must be in one. A table of one row is its own next; an empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("d")
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     parts = partitions(spark)
-    bounds = sampled_bounds(ids, "d", parts, rows.count())
+    bounds = _bounds(rows, parts, rows.count())
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = batch["d"].to_numpy()
-            yield pd.DataFrame({"part": np.searchsorted(bounds, d, "right"), "d": d}).groupby("part", as_index=False).min()
+            keys = _order_keys(batch["d"], batch["h"])
+            part, order = np.searchsorted(bounds, keys, "right"), np.argsort(keys)
+            own, at = np.unique(part[order], return_index=True)
+            yield pd.DataFrame({"part": own, "d": batch["d"].to_numpy()[order[at]], "h": batch["h"].to_numpy()[order[at]]})
 
-    first = {r["part"]: r["d"] for r in ids.mapInPandas(least, "part long, d long").groupBy("part").agg(F.min("d").alias("d")).collect()}
+    firsts = rows.select("d", "h").mapInPandas(least, "part long, d long, h long").groupBy("part").agg(F.min(F.struct("d", "h")).alias("x"))
+    first = {r["part"]: tuple(r["x"]) for r in firsts.collect()}
     order = sorted(first)
-    host = {first[p]: order[k - 1] for k, p in enumerate(order)}  # the range before, for each range's first id
+    host = {first[p]: order[k - 1] for k, p in enumerate(order)}  # the range before, for each range's first row
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = batch["d"].to_numpy()
-            yield batch.assign(part=np.searchsorted(bounds, d, "right"), guest=False)
-            guests = batch[np.isin(d, list(host))]
-            if len(guests):
-                yield guests.assign(part=[host[x] for x in guests["d"]], guest=True)
-
-    dealt = rows.mapInPandas(deal, "d long, no_id boolean, text string, part int, guest boolean")
-    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "guest", "d", "text")
+            yield batch.assign(part=np.searchsorted(bounds, _order_keys(batch["d"], batch["h"]), "right"), guest=False)
+            to = [host.get(x) for x in zip(batch["d"].tolist(), batch["h"].tolist(), strict=True)]
+            if any(x is not None for x in to):
+                yield batch.assign(part=to, guest=True).dropna(subset=["part"]).astype({"part": int})
+
+    dealt = rows.mapInPandas(deal, "d long, no_id boolean, text string, h long, part int, guest boolean")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "guest", "d", "h")
     return dealt.mapInPandas(_neighbours(gram, window), EDITED).withColumn("doc_id", F.col("doc_id").cast("long"))

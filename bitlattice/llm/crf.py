@@ -46,7 +46,8 @@ class LinearChain:
 
 def fit(sequences: list[list[int]], labels: list[list[int]], n_features: int, steps: int = 120, l2: float = 1.0) -> LinearChain:
     """Maximum likelihood with an L2 penalty by Adam; the forward and backward recursions run over
-    all sequences at once, longest first, so that each place only visits those that reach it."""
+    all sequences at once, longest first, so that each place only visits those that reach it.
+    Empty sequences are passed over; without any other all weights are zero."""
     order = sorted((k for k in range(len(sequences)) if sequences[k]), key=lambda k: -len(sequences[k]))
     if not order:
         return LinearChain(np.zeros((n_features, 2)), np.zeros((2, 2)))

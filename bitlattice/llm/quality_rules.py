@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, partitions
 from .crf import LinearChain, fit
 
-SAMPLE = 4_000  # labelled documents that the field is fitted on at most
+SAMPLE, LINES = 4_000, 400_000  # labelled documents that the field is fitted on at most, and their lines
 MIN_CONTENT = 0.5  # share of a document's word characters in content lines
 
 SPACE = " \t\n\v\f\r"
@@ -80,7 +80,8 @@ def line_masks(text: str) -> tuple[list[int], list[int], int]:
 
 
 def repeat_words(words: list[bytes]) -> int:
-    """How many words are in a three-word window that the text has twice or more."""
+    """How many words are in a three-word window that the text has twice or more; none of a text
+    of fewer than four words."""
     n = len(words)
     if n < 4:
         return 0
@@ -115,8 +116,10 @@ def text_stats(text: str | None, field: LinearChain) -> tuple[int, int, int, int
     return (len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), repeats, repeat_words(words), content / total if total else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LinearChain:
-    """Fit the field on `sample` labelled documents at most, those whose ids hash least.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> LinearChain:
+    """Fit the field on `sample` labelled documents at most, those whose ids hash least, and of
+    these on whole documents with `lines` lines altogether at most, in order of their texts' hashes
+    (a document that alone has more is passed over).
 
     Lines have no labels of their own. Those of a document of quality 1 count as content, unless
     they repeat an earlier line; all others as boilerplate. Equal texts count once. Null ids,
@@ -129,10 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LinearCha
 
     def masks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"quality": batch["quality"], "masks": [line_masks(t)[0] for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "quality": batch["quality"], "masks": [line_masks(t)[0] for t in batch["text"]]})
 
-    held = cut(rows.repartition(partitions(docs.sparkSession), "id").select("quality", "text").mapInPandas(masks_of, "quality int, masks array<long>"), "lines")
-    got = held.collect()
+    held = cut(rows.repartition(partitions(docs.sparkSession), "id").mapInPandas(masks_of, "id long, quality int, masks array<long>"), "lines")
+    # One row for each of `sample` documents at most is in the window.
+    each = held.select("id", F.size("masks").alias("n")).where(F.col("n") <= lines)
+    upto = F.sum("n").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    got = held.join(each.withColumn("upto", upto).where(F.col("upto") <= lines).select("id"), "id", "left_semi").orderBy("id").collect()
     drop(held)
     poor = _BIT["earlier line"] | _BIT["no words"]
     return fit([r["masks"] for r in got], [[int(r["quality"] == 1 and not m & poor) for m in r["masks"]] for r in got], len(FEATURES))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`cut` writes inside, to be dropped when their result is written."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, lost
     executors don't force a recomputation, and later reads prune columns."""
@@ -27,11 +42,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for tables in _made[-1:]:
+        tables.append(out)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing lazy still reads."""
+    """Delete tables made by :func:`cut` that nothing lazy still reads; those deleted before do no harm."""
     for df in tables:
         delete(df.sparkSession, df._cut_path)
 
@@ -54,14 +71,3 @@ def ascii_lower(c: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words of the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def sampled_bounds(ids: DataFrame, column: str, parts: int, n: int, each: int = 20):
-    """Up to parts - 1 ascending splitters of a long column of n rows into ranges of like size,
-    from a sample of about `each` values a range; nulls are passed over."""
-    import numpy as np
-
-    share = each * parts / max(n, 1)
-    some = ids.select(column).where(F.col(column).isNotNull())
-    found = np.sort((some.sample(share, 1) if share < 1 else some).toArrow().column(0).to_numpy().astype(np.int64))
-    return np.unique(found[(len(found) * np.arange(1, parts)) // parts]) if len(found) else found

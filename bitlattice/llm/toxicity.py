@@ -45,7 +45,8 @@ class CumulativeLink:
 
 
 def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_terms: int, n_grades: int, steps: int = 400, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, cuts) by Adam on the penalised log-likelihood; rows hold feature numbers."""
+    """(weights, cuts) by Adam on the penalised log-likelihood; rows hold feature numbers and may be
+    empty. Without rows weights are zero and the cuts those of equal shares."""
     grades = np.asarray(grades, dtype=np.int64)
     col = np.fromiter((c for r in rows for c in r), dtype=np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

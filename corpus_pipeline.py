@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlattice.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from bitlattice.llm.common import cut, read, release
+from bitlattice.llm.common import cut, drop, read, release, tables_made
 from bitlattice.llm.queries import tokenizer_path
 from bitlattice.llm.suffix_dedup import PASSAGE_WORDS
 
@@ -70,10 +70,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each result written to the shared folder and read again; what a
+    stage wrote besides, and the result before it, is then deleted."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tables_made() as made:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(*before, *(t for t in made if t is not docs))
+        before = [docs]
         release(spark)
     return docs
 

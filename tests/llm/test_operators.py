@@ -2,9 +2,11 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -438,6 +440,35 @@ def test_viterbi_and_fit():
     assert sum(a == b for s, y in zip(seen, truth, strict=True) for a, b in zip(got.viterbi(s), y, strict=True)) > 0.85 * 80 * 12
 
 
+def test_field_is_at_the_optimum():
+    """The penalised likelihood, its partition function summed over all labellings, doesn't rise
+    from the fitted point, whichever way."""
+    rng = random.Random(2)
+    seqs = [[rng.randrange(8) for _ in range(rng.randint(1, 4))] for _ in range(25)] + [[]]
+    marks = [[int(rng.random() < (0.8 if m & 1 else 0.3)) for m in s] for s in seqs]
+
+    def loss(w, moves):
+        score = lambda s, y: sum(w[f, v] for m, v in zip(s, y, strict=True) for f in range(3) if m >> f & 1) + sum(moves[a, b] for a, b in itertools.pairwise(y))
+        each = [math.log(sum(math.exp(score(s, y)) for y in itertools.product((0, 1), repeat=len(s)))) - score(s, v) for s, v in zip(seqs, marks, strict=True)]
+        return sum(each) + 0.5 * float((w**2).sum() + (moves**2).sum())
+
+    field = crf.fit(seqs, marks, 3, steps=4000)
+    best = loss(field.weights, field.moves)
+    for k in range(10):
+        for step in (-0.2, 0.2):  # Adam's steps end within a tenth of the optimum
+            x = np.concatenate((field.weights.ravel(), field.moves.ravel()))
+            x[k] += step
+            assert loss(x[:6].reshape(3, 2), x[6:].reshape(2, 2)) > best
+    assert not crf.fit([], [], 3).weights.any()
+
+
+def test_field_from_a_bound_of_lines(spark):
+    docs = spark.createDataFrame([(1, "a good line here.\n" * 50), (2, "x | y\n" * 3), (3, "Other words stand here.\nAnd more of them.")], "doc_id long, text string")
+    marks = labels(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 0)])
+    few = quality_rules.train(docs, marks, lines=10)
+    assert np.array_equal(few.weights, quality_rules.train(docs.where("doc_id > 1"), marks).weights) and not np.array_equal(few.weights, quality_rules.train(docs, marks).weights)
+
+
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, marks = read(spark, d, "documents"), read(spark, d, "labels")
@@ -500,6 +531,16 @@ def test_fingerprints(spark, sf):
         assert len(r["positions"]) == len(own)
 
 
+def test_neighbours_of_one_id(spark):
+    """Rows without an id are spread over ranges, each with the next one in order of hashes."""
+    docs = spark.createDataFrame([(None if k < 300 else k % 2, f"text {k % 280} " * 5) for k in range(400)], "doc_id long, text string").repartition(4)
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), r["text"]) for r in docs.withColumn("h", F.xxhash64("text")).collect())
+    want = Counter(t[: len(t) - len(t) // 4] + after[: len(t) // 4] for (_, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True))
+    out = winnowing.compare_with_edits(docs)
+    assert Counter(r["edited"] for r in out.collect()) == want
+    assert out.where("doc_id IS NULL").select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_fingerprint_edges(spark):
     docs = messy(spark)
     assert ids(winnowing.compare_with_edits(docs).collect()) == ids(docs.collect())
@@ -762,10 +803,16 @@ def test_suffix_dedup_edges(spark):
 
 
 def test_query_columns(spark, sf):
+    from tokenizers import Tokenizer
+
     docs = {r["doc_id"]: r["text"] or "" for r in read(spark, sf, "documents").collect()}
-    for r in QUERIES["op10_suffix_dedup"](spark, sf).collect():
-        assert r["n_bytes"] == len(docs[r["doc_id"]].encode())
-        if not r["n_removed"]:
-            assert r["kept_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() and r["n_spans"] == 0
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    whole = {k: [*encode(t, add_special_tokens=False).ids, 2] for k, t in docs.items()}
+    pieces = defaultdict(list)
+    for r in QUERIES["op3_packing"](spark, sf).collect():
+        pieces[r["doc_id"]].append(r)
+        ids_ = whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(ids_) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(ids_, "<u4").tobytes())
+    assert all(sum(r["length"] for r in pieces[k]) == len(v) for k, v in whole.items())
     assert QUERIES["op7_winnowing"](spark, sf).columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     assert QUERIES["op3_packing"](spark, sf).dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]

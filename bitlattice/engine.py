@@ -127,9 +127,13 @@ class BitmapEngine:
         rows = (bitmap or index.is_not_null()).fetch(self.tables[index.table])
         return rows.select(*columns) if columns else rows
 
-    def explain(self, name: str) -> str:
+    def explain(self, name: str, bitmap=None, columns: list[str] | None = None) -> str:
+        """What index_scan would do: table, index, the rows that the bitmap selects, counted from
+        the words alone, and Spark's plan."""
         index = self.index(name)
-        return f"Table: {index.table}\nIndex: {index.name}"
+        rows = (bitmap or index.is_not_null()).count().first()["n"]
+        plan = self.index_scan(name, bitmap, columns)._jdf.queryExecution()
+        return f"Table: {index.table}\nIndex: {index.name}\nRows: {rows}\n{self.spark._jvm.PythonSQLUtils.explainString(plan, 'formatted')}"
 
     # -- persistence
 

@@ -12,6 +12,7 @@ from .engine import BitmapEngine
 from .functions import scalars
 from .operators import words as W
 from .operators.index import BitmapIndex
+from .streaming.maintain import append_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,6 +133,13 @@ def get_value(spark, sf):
     return engine.index("main.i").values_of(engine.tables["events"].select("event_id", "row_id")).select("event_id", "value")
 
 
+@query("SELECT max(r) + 1 AS n FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS r, user_id FROM events) WHERE user_id < 100")
+def number_of_rows(spark, sf):
+    """One more than the last row with a key."""
+    i = _index(spark, sf, "events", "IF(user_id < 100, user_id, NULL)")[1]
+    return spark.createDataFrame([(i.n_rows(),)], "n long")
+
+
 @query("SELECT c_nationkey AS value, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id FROM customer")
 def scan_rowids(spark, sf):
     return _index(spark, sf, "customer", "c_nationkey")[1].scan()
@@ -197,6 +205,12 @@ def is_null(spark, sf):
     return engine.index_scan("i", i.is_null(), ["p_partkey", "p_size"])
 
 
+@query("SELECT p_partkey FROM part WHERE p_size <> 7")
+def is_not_null(spark, sf):
+    engine, i = _index(spark, sf, "part", "nullif(p_size, 7)")
+    return engine.index_scan("i", i.is_not_null(), ["p_partkey"])
+
+
 @query("SELECT p_partkey FROM part WHERE NOT (nullif(p_size, 7) > 20 AND nullif(p_size, 9) < 40)")
 def three_valued_not(spark, sf):
     engine = _engine(spark, sf, "part")
@@ -237,6 +251,28 @@ def after_append(spark, sf):
     return _over(engine, "half", rows.where(half)).append(rows.where(~half).select("row_id", "user_id")).group_counts()
 
 
+@query("SELECT max(event_id) + 1001 AS n, count(*) AS indexed, max(user_id) + 500000 AS largest FROM events")
+def after_grow(spark, sf):
+    """Appended rows and values far beyond those that the index was made for."""
+    rows, engine = _events(spark, sf)
+    more = rows.selectExpr("row_id + 1000 AS row_id", "user_id + 500000 AS user_id")
+    i = _over(engine, "few", rows.limit(0)).append(more)
+    found = i.group_counts().agg(F.sum("n").alias("indexed"), F.max("value").cast("long").alias("largest"))
+    return found.select(F.lit(i.n_rows()).cast("long").alias("n"), "indexed", "largest")
+
+
+@query("SELECT user_id::INTEGER AS value, count(*) AS n FROM events GROUP BY 1")
+def streamed_append(spark, sf):
+    """An index kept by a stream of the table's files; event ids count from 0, as row ids do."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    engine = BitmapEngine(spark)
+    engine.register_table("stream", spark.createDataFrame([], "row_id long, user_id long"))
+    engine.create_index("i", "stream", "user_id")
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").selectExpr("event_id AS row_id", "user_id")
+    append_stream(engine, "i", rows).trigger(availableNow=True).option("checkpointLocation", f"{engine.root}/progress").start().awaitTermination()
+    return engine.index("i").group_counts()
+
+
 @query("SELECT user_id::INTEGER AS value, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
 def after_delete(spark, sf):
     rows, engine = _events(spark, sf)

@@ -343,6 +343,16 @@ def test_point_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(value), EqualTo(value,7)]" in plan and "Exchange" not in plan
 
 
+def test_explain_and_pruned_columns(spark, sf):
+    engine = BitmapEngine(spark)
+    engine.register_table("orders", f"{sf}/orders.parquet")
+    i = engine.create_index("i", "orders", "o_custkey")
+    text = engine.explain("i", i.eq(7), ["o_orderkey"])
+    n = engine.tables["orders"].where("o_custkey = 7").count()
+    assert text.startswith(f"Table: orders\nIndex: i\nRows: {n}\n== Physical Plan ==")
+    assert "ReadSchema: struct<o_orderkey:bigint" in text and "EqualTo(value,7)" in text and "o_totalprice" not in text
+
+
 def test_no_python_in_plans(spark):
     _, i = engine_of(spark, [1, 2, 3])
     for df in (i.group_counts(), i.eq(1).row_ids(), (i.eq(1) | ~i.eq(2)).count(), i.dump()):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, partitions
@@ -14,15 +14,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(rows: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
-    """rows (u, v) with m, the least v of each u, and (u, m) alone. Nodes of more than `hub` rows
+def hub_size(rows: int, spark: SparkSession) -> int:
+    """From how many of so many rows on a node is a hub: 2 * partitions nodes at most have as many."""
+    return max(FEWEST, rows // (2 * partitions(spark)))
+
+
+def with_least(rows: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v, others) with m, the least v of each u, and (u, m) alone. Nodes of more than `hub` rows
     get m from a broadcast, which has as many rows as rows / hub at most; so their rows stay
     where they are, and no task of the join for all others has a node with more than `hub`."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("_m")))
     marked = rows.join(hubs, "u", "left")
-    rest = marked.where("_m IS NULL").select("u", "v").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return marked.where("_m IS NOT NULL").select("u", "v", F.col("_m").alias("m")).unionByName(rest), least.select("u", "m")
+    rest = marked.where("_m IS NULL").drop("_m").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.where("_m IS NOT NULL").withColumnRenamed("_m", "m").unionByName(rest), least.select("u", "m")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,7 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     node reachable. Null ends and self-loops name no edge; repeated edges count once.
 
     Every step is a distinct, a min per node (combined before its shuffle) and one join on the
-    node, which the rows of hubs are left out of (:func:`_with_least`): nodes with more than a
+    node, which the rows of hubs are left out of (:func:`with_least`): nodes with more than a
     2 * partitions-th of the edges, so 4 * partitions of them at most. Nothing is collected but a
     count and a checksum. Each round is written to the shared folder, so plans stay short.
     """
@@ -40,10 +45,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hub = max(FEWEST, mark[0] // (2 * partitions(e.sparkSession)))
-        each, _ = _with_least(both, hub)
+        hub = hub_size(mark[0], e.sparkSession)
+        each, _ = with_least(both, hub)
         large = each.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        each, least = _with_least(large, hub)
+        each, least = with_least(large, hub)
         small = each.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
         was, mark = mark, _mark(new)

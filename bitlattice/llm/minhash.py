@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, partitions, release
-from .components import connected_components
+from .components import connected_components, hub_size, with_least
 from .textbytes import U, mix, word_hashes
 
 COORDINATES, ROWS = 32, 4  # coordinates of a signature, and min-hashes combined in each
@@ -76,7 +76,7 @@ def _features(words: int):
                 one.append(d[0])
                 two.append(d[1])
                 post.append(signature(s).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "d1": one, "d2": two, "post": post})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": n, "d1": one, "d2": two, "post": post})
 
     return features
 
@@ -84,7 +84,7 @@ def _features(words: int):
 def _sets(words: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"family": batch["family"], "rep": batch["doc_id"], "s": [shingles(x or b"", words).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"family": batch["family"], "rep": batch["rep"], "s": [shingles(x or b"", words).tobytes() for x in batch["text"]]})
 
     return sets
 
@@ -206,16 +206,19 @@ def _to_head(percent: int):
     return to_head
 
 
-def confirmed(families: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """(a, b): links confirmed on the full sets that connect the same documents as all links
-    between documents of one family. families has (node, component), component the least node.
+def confirmed(families: DataFrame, groups: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b): links confirmed on the full sets that connect the same sets as all links between
+    sets of one family. families has (node, component), component the least node; groups has
+    (rep, least, th), the doc_id and text hash of a document with the set of node rep.
 
     Each member is compared with the family's head first. Families with members that aren't
     linked with it, the rest, are then compared in blocks of BLOCK x BLOCK: the rest with itself,
     and those of the rest that are near enough with those linked with the head."""
     spark = docs.sparkSession
-    member = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(member, "doc_id")
+    member = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    source = member.join(groups.select("rep", F.col("least").alias("doc_id"), "th"), "rep")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).join(source, ["doc_id", "th"])
+    texts = texts.dropDuplicates(["doc_id", "th"]).select("family", "rep", "text")
     sets = cut(texts.mapInPandas(_sets(words), "family long, rep long, s binary"), "sets")
     release(spark)
     # A family that has more than a 4 * partitions-th of all members, so one of fewer than that many,
@@ -250,12 +253,13 @@ def confirmed(families: DataFrame, docs: DataFrame, percent: int, words: int) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
+    """Per row of docs: doc_id, n_shingles, component_id, kept, text_hash (Spark's xxhash64 of the text).
 
     Documents are linked if their shingle sets have a Jaccard similarity of `percent` or more;
     component_id is the least doc_id reachable, and that document is kept.
 
-    1. Documents of equal sets are linked and stand in the rest for one, the least doc_id.
+    1. Documents of equal sets are linked and stand in the rest for one, the least doc_id. What is
+       linked then are sets, which have numbers of their own, as a doc_id may have several texts.
     2. Each is posted under its (coordinate, value) pairs. Two documents with t or more equal
        coordinates out of k share one of the first k - t + 1, so only that prefix is posted; the
        others are skipped and only compared for the pairs found (t: :func:`needed_matches`).
@@ -269,18 +273,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
 
     Null or empty texts and texts without words have an empty set and are linked with nothing;
     rows without doc_id are linked with nothing and kept; repeated rows are in one component (and
-    all marked kept, as they have the same doc_id); an empty table gives no rows; other columns
-    are ignored.
+    all marked kept, as they have the same doc_id); of rows with one doc_id but other texts each
+    has its own set's component; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     need = needed_matches(percent)
-    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    features = base.mapInPandas(_features(words), "doc_id string, n_shingles long, d1 long, d2 long, post array<long>")
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    features = base.mapInPandas(_features(words), "doc_id string, text_hash long, n_shingles long, d1 long, d2 long, post array<long>")
     features = cut(features.withColumn("doc_id", F.col("doc_id").cast("long")), "features")
-    groups = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    groups = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
+    groups = groups.select("d1", "d2", F.col("of.doc_id").alias("least"), F.col("of.text_hash").alias("th"), F.monotonically_increasing_id().alias("rep"))
     groups = cut(groups, "groups")
-    posts = features.select(F.col("doc_id").alias("rep"), "post").join(groups.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    posts = cut(posts, "posts")
+    sides = ["d1", "d2", "least", "th"]
+    posts = features.select("d1", "d2", F.col("doc_id").alias("least"), F.col("text_hash").alias("th"), "post").join(groups, sides).dropDuplicates(sides)
+    posts = cut(posts.select("rep", "post"), "posts")
 
     listed = posts.select("rep", F.explode(F.slice("post", 1, COORDINATES - need + 1)).alias("key"))
     heads = listed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
@@ -315,11 +321,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     drop(shared, listed, posts, stars, joined)
     release(spark)
 
-    links = confirmed(families, docs, percent, words)
-    member = cut(connected_components(links), "members")
+    links = confirmed(families, groups, docs, percent, words)
+    member = cut(connected_components(links).withColumnRenamed("node", "rep").join(groups, "rep").select("rep", F.col("component").alias("u"), F.col("least").alias("v")), "members")
     release(spark)
 
-    out = features.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    out = out.join(member.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    own = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    component, _ = with_least(member, hub_size(member.count(), spark))
+    sets = groups.select("d1", "d2", "least", "rep").join(component.select("rep", "m"), "rep", "left")
+    sets = sets.select("d1", "d2", F.coalesce("m", "least").alias("own"))
+    out = features.select("doc_id", "n_shingles", "d1", "d2", "text_hash").join(sets, ["d1", "d2"], "left")
+    own = F.coalesce("own", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_hash")

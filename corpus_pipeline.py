@@ -26,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id, once. Rows
-    without doc_id or without words are in no group and stay."""
+    without doc_id or without words are in no group and stay; of rows with one doc_id but other
+    texts only those go whose own text is a near duplicate of a smaller doc_id's."""
     kept = minhash.near_duplicates(docs, SIMILARITY)
-    gone = kept.where(~F.col("kept")).select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = kept.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
     # Rows that are equal in id and text are copies too.
     single = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return single.unionByName(rows.where("doc_id IS NULL"))

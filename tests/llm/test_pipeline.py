@@ -117,6 +117,15 @@ def test_drop_near_duplicates(spark, folder):
     assert bag(got) == bag(brute_near(rows)) and len(got) < len(rows)
 
 
+def test_near_duplicates_of_one_id(spark, folder):
+    """A text of its own stays, though another row of its doc_id is a copy."""
+    say = lambda seed: " ".join(random.Random(seed).choices(VOCABULARY, k=60))
+    rows = [(3, say(1)), (9, say(1) + " more"), (9, say(2)), (12, say(2) + " more"), (5, say(3)), (5, say(4))]
+    rows = [(k, t, "en", "a", len(t)) for k, t in rows]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), folder).collect()
+    assert bag(got) == bag([rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_drop_repeated_passages(spark, folder):
     rows = corpus()
     got = corpus_pipeline.drop_repeated_passages(spark, frame(spark, rows), folder).collect()

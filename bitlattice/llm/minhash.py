@@ -17,7 +17,7 @@ from .textbytes import U, mix, word_hashes
 
 COORDINATES, ROWS = 32, 4  # coordinates of a signature, and min-hashes combined in each
 BLOCK = 1024  # documents of a posting list that are compared with as many others at once, at most
-SPREAD = 8  # blocks that smaller lists are split into, so that several tasks share their pairs
+SPREAD = 16  # blocks that smaller lists are split into, so that several tasks share their pairs
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 2**63, COORDINATES * ROWS, dtype=U) * U(2) + U(1)

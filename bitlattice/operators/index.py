@@ -126,6 +126,12 @@ class BitmapIndex:
         s = self.stats
         return self.distinct_values().select("distinct_value", F.lit(s.memory_bytes).cast("long").alias("bitmap_mem_size"), F.lit(s.bits).cast("long").alias("bitmap_bit_size"), F.lit(1.0).alias("compression_ratio"))
 
+    def sizes(self) -> DataFrame:
+        """(value, n_words, n_rows, dense_words): of each value the words that are stored and the
+        rows in them, and the words that a dense bitmap up to the last row would have."""
+        each = self.words.where("value >= 0").groupBy("value").agg(F.count("*").alias("n_words"), F.sum(F.bit_count("word").cast("long")).alias("n_rows"))
+        return each.withColumn("dense_words", F.lit(self.stats.words).cast("long"))
+
     def at_most(self, value: int) -> DataFrame:
         """(word_idx, word) of the rows with keys from 0 to the value, by the range encoding."""
         return W.range_lookup(W.range_encoded(self.words), value)

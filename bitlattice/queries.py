@@ -80,6 +80,13 @@ def index_dump(spark, sf):
     return spark.sql("SELECT * FROM bitmap_index_dump('i')")
 
 
+@query("""WITH r AS (SELECT o_custkey::INTEGER AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)
+SELECT value, count(DISTINCT r // 64) AS n_words, count(*) AS n_rows, (SELECT (count(*) + 63) // 64 FROM r) AS dense_words FROM r GROUP BY value""")
+def index_sizes(spark, sf):
+    """What is really stored, beside what dense bitmaps would take."""
+    return _index(spark, sf, "orders", "o_custkey", store=True)[1].sizes()
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS distinct_value FROM orders")
 def distinct_values(spark, sf):
     return _index(spark, sf, "orders", "o_custkey")[1].distinct_values()

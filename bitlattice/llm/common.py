@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,20 @@ def ascii_lower(c: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words of the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def order_keys(d: pd.Series, h: pd.Series) -> np.ndarray:
+    """Sixteen bytes a row that sort as (id, hash of the text) do."""
+    out = np.empty((len(d), 2), dtype=">u8")
+    for k, c in enumerate((d, h)):
+        out[:, k] = c.to_numpy(np.int64).view(np.uint64) ^ np.uint64(2**63)
+    return out.view("S16").ravel()
+
+
+def order_bounds(rows: DataFrame, parts: int, n: int, each: int = 20) -> np.ndarray:
+    """Up to parts - 1 ascending splitters of n rows (d, h) into ranges of like size, from a sample
+    of about `each` rows a range."""
+    share = each * parts / max(n, 1)
+    some = (rows.sample(share, 1) if share < 1 else rows).select("d", "h").toPandas()
+    found = np.sort(order_keys(some["d"], some["h"]))
+    return np.unique(found[(len(found) * np.arange(1, parts)) // parts]) if len(found) else found

@@ -8,7 +8,6 @@ lower order its low bits.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -18,17 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, release
+from .common import cut, drop, order_bounds, order_keys, release
 
 ORDER = 4
-BLOCK_ROWS = 8_000  # documents whose distinct n-grams are looked up together, at most
-BLOCK_CHARS = 32 << 20  # of their texts, unless it is one text
-PIECE_CHARS = 1 << 20  # of texts compressed in one row, unless it is one text
+BLOCK_ROWS = 8_000  # documents whose distinct n-grams are looked up together
+BLOCK_BYTES = 64 << 20  # of their texts on average, at most
 CHUNK = 1 << 20  # n-grams that are sorted at once
 QUANTILE = 0.99  # of the trusted documents' perplexities, for each language
 
 # Ids pass through pandas as strings, as a null would turn the integers of its batch into doubles.
-PACKED = "block long, ids array<string>, langs array<string>, sizes array<int>, data binary, keys array<long>"
+PACKED = "block long, ids array<string>, langs array<string>, sizes array<int>, data binary"
 SCORED = "doc_id string, lang string, perplexity double"
 
 
@@ -62,41 +60,30 @@ def tally(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return fold() if waiting else (keys, counts)
 
 
-def pack_blocks(docs: DataFrame) -> DataFrame:
-    """(PACKED): documents in blocks, which are rows that follow each other in a task, whatever their
-    ids, so no key makes a block larger than its bounds. A block is some rows of compressed texts,
-    of which the last has the block's distinct n-grams. Blocks have random numbers: write the
-    result before it is read twice."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with what their place in the order of ids and texts' hashes hangs on: (d, h)."""
+    return docs.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
 
-    def piece(number: int, rows: list[tuple], keys: np.ndarray) -> tuple:
-        import zstandard
 
-        texts = [t.encode("utf-8", "surrogatepass") for _, _, t in rows]
-        return number, [i for i, _, _ in rows], [x for _, x, _ in rows], [len(t) for t in texts], zstandard.compress(b"".join(texts), 3), keys
+def _blocks(bounds: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+    return np.searchsorted(bounds, order_keys(batch["d"], batch["h"]), "right")
+
 
-    def block(rows: list[tuple]) -> pd.DataFrame:
-        number, out, at, size = uuid.uuid4().int >> 65, [], 0, 0
-        for k, (_, _, text) in enumerate(rows):
-            if size > PIECE_CHARS:
-                out.append(piece(number, rows[at:k], np.zeros(0, np.int64)))
-                at, size = k, 0
-            size += len(text)
-        out.append(piece(number, rows[at:], tally(t for _, _, t in rows if t)[0]))
-        return pd.DataFrame(out, columns=["block", "ids", "langs", "sizes", "data", "keys"])
+def pack_blocks(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(PACKED): documents by range of ids and texts' hashes, compressed, for a shuffle by block. So
+    rows of one id, or of none, are in blocks of their own size, unless their texts are equal too."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size = [], 0
+        import zstandard
+
         for batch in batches:
-            for doc_id, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
-                if rows and (len(rows) >= BLOCK_ROWS or size + len(text or "") > BLOCK_CHARS):
-                    yield block(rows)
-                    rows, size = [], 0
-                rows.append((doc_id, lang, text or ""))
-                size += len(text or "")
-        if rows:
-            yield block(rows)
+            out = []
+            for block, rows in batch.groupby(_blocks(bounds, batch)):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
+                out.append((block, rows["doc_id"].tolist(), rows["lang"].tolist(), [len(t) for t in texts], zstandard.compress(b"".join(texts), 3)))
+            yield pd.DataFrame(out, columns=["block", "ids", "langs", "sizes", "data"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInPandas(packed, PACKED)
+    return _placed(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text", "d", "h").mapInPandas(packed, PACKED)
 
 
 def _unpack(row: tuple) -> Iterator[tuple[str | None, str | None, str]]:
@@ -108,17 +95,22 @@ def _unpack(row: tuple) -> Iterator[tuple[str | None, str | None, str]]:
         at += size
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(key, c): how often each n-gram of highest order occurs in the trusted documents (doc_id),
-    summed up in each task before the shuffle by n-gram."""
+def count_grams(docs: DataFrame, packed: DataFrame, trusted: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(key, c): how often each n-gram of highest order occurs in the trusted documents (doc_id)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, c = tally(t for t in batch["text"] if t)
-            yield pd.DataFrame({"key": keys, "c": c})
+            yield pd.DataFrame({"doc_id": batch["d"].astype(str), "block": _blocks(bounds, batch)})
 
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
-    return texts.mapInPandas(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    def count(texts: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
+        wanted = set(ids["doc_id"])
+        keys, c = tally(t for row in texts.itertuples() for doc_id, _, t in _unpack(row) if doc_id in wanted)
+        return pd.DataFrame({"key": keys, "c": c})
+
+    # Only ids and hashes are joined with the trusted ids, so that no text is shuffled for them.
+    ids = _placed(docs).select("doc_id", "d", "h").join(trusted, "doc_id").select("d", "h").distinct().mapInPandas(place, "doc_id string, block long")
+    counts = packed.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(count, "key long, c long")
+    return counts.groupBy("key").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -175,12 +167,17 @@ def kneser_ney(counts: DataFrame) -> KneserNey:
     return model
 
 
-def perplexities(packed: DataFrame, model: KneserNey) -> DataFrame:
+def perplexities(docs: DataFrame, packed: DataFrame, bounds: np.ndarray, model: KneserNey) -> DataFrame:
     """(SCORED): the perplexity per character of each document, null for an empty text.
 
     Each block asks for its distinct n-grams; their probabilities come by joins and go back to the
     block, where the texts are, so that neither the model nor an n-gram's postings meet in a task."""
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, rows in batch.groupby(_blocks(bounds, batch)):
+                yield pd.DataFrame({"key": tally(t for t in rows["text"] if t)[0]}).assign(block=block)
+
     def rate(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("key")
         keys, logp = answers["key"].to_numpy(), answers["logp"].to_numpy()
@@ -190,11 +187,11 @@ def perplexities(packed: DataFrame, model: KneserNey) -> DataFrame:
                 out.append((doc_id, lang, float(np.exp(-logp[np.searchsorted(keys, grams(text))].mean())) if text else None))
         return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity"])
 
-    asked = packed.select(F.col("block").alias("asker"), F.explode("keys").alias("key"))
+    asked = cut(_placed(docs).select("text", "d", "h").mapInPandas(ask, "block long, key long").distinct(), "asked")
     known = cut(model.log_probabilities(asked.select("key").distinct()), "known")
-    answers = asked.join(known, "key").select("asker", "key", "logp")
-    scored = cut(packed.drop("keys").groupBy("block").cogroup(answers.groupBy("asker")).applyInPandas(rate, SCORED).withColumn("doc_id", F.col("doc_id").cast("long")), "scored")
-    drop(known)
+    answers = asked.join(known, "key").select("block", "key", "logp")
+    scored = cut(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(rate, SCORED).withColumn("doc_id", F.col("doc_id").cast("long")), "scored")
+    drop(asked, known)
     return scored
 
 
@@ -225,13 +222,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hel
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bounds = order_bounds(_placed(docs), max(1, -(-n // BLOCK_ROWS), -(-size // BLOCK_BYTES)), n, 4)
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
-    model = kneser_ney(count_grams(docs, trusted.where(~out)))
+    packed = pack_blocks(docs, bounds)
+    model = kneser_ney(count_grams(docs, packed, trusted.where(~out), bounds))
     release(spark)
-    packed = cut(pack_blocks(docs), "packed")
-    scored = perplexities(packed, model)
-    drop(packed, *model.grams.values())
+    scored = perplexities(docs, packed, bounds, model)
+    drop(*model.grams.values())
     release(spark)
     held = scored.join(trusted.where(out), "doc_id")
     limits = held.groupBy("lang").agg(_limit(F.col("perplexity"), quantile).alias("limit"))

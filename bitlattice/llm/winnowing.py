@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import order_bounds, order_keys, partitions
 from .textbytes import BASE, U, mix, powers
 
 GRAM, WINDOW = 16, 40  # characters of a k-gram, and k-grams in a window
@@ -80,23 +80,6 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - len(text) // 4] + after[: len(text) // 4]
 
 
-def _order_keys(d: pd.Series, h: pd.Series) -> np.ndarray:
-    """Sixteen bytes a row that sort as (id, hash of the text) do."""
-    out = np.empty((len(d), 2), dtype=">u8")
-    for k, c in enumerate((d, h)):
-        out[:, k] = c.to_numpy(np.int64).view(U) ^ U(2**63)
-    return out.view("S16").ravel()
-
-
-def _bounds(rows: DataFrame, parts: int, n: int, each: int = 20) -> np.ndarray:
-    """Up to parts - 1 ascending splitters of n rows (d, h) into ranges of like size, from a sample
-    of about `each` rows a range."""
-    share = each * parts / max(n, 1)
-    some = (rows.sample(share, 1) if share < 1 else rows).select("d", "h").toPandas()
-    found = np.sort(_order_keys(some["d"], some["h"]))
-    return np.unique(found[(len(found) * np.arange(1, parts)) // parts]) if len(found) else found
-
-
 def _neighbours(gram: int, window: int):
     """For ranges of documents in order, each with the first document of the next range behind it
     as a guest: every document with the one that follows it. Only one document is held."""
@@ -141,11 +124,11 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     parts = partitions(spark)
-    bounds = _bounds(rows, parts, rows.count())
+    bounds = order_bounds(rows, parts, rows.count())
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = _order_keys(batch["d"], batch["h"])
+            keys = order_keys(batch["d"], batch["h"])
             part, order = np.searchsorted(bounds, keys, "right"), np.argsort(keys)
             own, at = np.unique(part[order], return_index=True)
             yield pd.DataFrame({"part": own, "d": batch["d"].to_numpy()[order[at]], "h": batch["h"].to_numpy()[order[at]]})
@@ -157,7 +140,7 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(part=np.searchsorted(bounds, _order_keys(batch["d"], batch["h"]), "right"), guest=False)
+            yield batch.assign(part=np.searchsorted(bounds, order_keys(batch["d"], batch["h"]), "right"), guest=False)
             to = [host.get(x) for x in zip(batch["d"].tolist(), batch["h"].tolist(), strict=True)]
             if any(x is not None for x in to):
                 yield batch.assign(part=to, guest=True).dropna(subset=["part"]).astype({"part": int})

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitlattice.llm import components, crf, minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
-from bitlattice.llm.common import read
+from bitlattice.llm.common import order_bounds, read
 from bitlattice.llm.components import connected_components
 from bitlattice.llm.queries import ORACLE, QUERIES, tokenizer_path
 
@@ -601,7 +601,9 @@ def test_kneser_ney_against_the_formula(spark, seed):
     p = direct_kneser_ney(texts)
     asked = {("\0\0\0" + t)[k : k + 4] for t in [*texts, "abxéd", "zzzz", "ddab"] for k in range(len(t))}
     number = {g: sum(ord(x) << (16 * k) for k, x in enumerate(reversed(g))) for g in asked}
-    model = ngram.kneser_ney(ngram.count_grams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.range(8).withColumnRenamed("id", "doc_id")))
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    bounds = order_bounds(ngram._placed(docs), 3, 8)
+    model = ngram.kneser_ney(ngram.count_grams(docs, ngram.pack_blocks(docs, bounds), docs.select("doc_id"), bounds))
     got = {r["key"]: r["logp"] for r in model.log_probabilities(spark.createDataFrame([(k,) for k in number.values()], "key long")).collect()}
     for g, k in number.items():
         assert math.isclose(math.exp(got[k]), p(g), rel_tol=1e-9), g
@@ -609,9 +611,8 @@ def test_kneser_ney_against_the_formula(spark, seed):
 
 @pytest.mark.parametrize("rows", [8000, 3])
 def test_perplexity_against_the_formula(spark, monkeypatch, rows):
-    """Over whole tables, blocks of one id included; ids don't matter for blocks."""
+    """Over whole tables; rows of one id or none are in several blocks."""
     monkeypatch.setattr(ngram, "BLOCK_ROWS", rows)
-    monkeypatch.setattr(ngram, "PIECE_CHARS", 40)
     rng = random.Random(rows)
     texts = {k: "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 50))) for k in range(30)}
     docs = spark.createDataFrame([(k if k < 15 else None if k < 22 else 99, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").repartition(2)
@@ -620,6 +621,8 @@ def test_perplexity_against_the_formula(spark, monkeypatch, rows):
     p = direct_kneser_ney([texts[k] for k in range(15) if k not in held and texts[k]])
     want = [math.exp(-np.mean([math.log(p(("\0\0\0" + t)[k : k + 4])) for k in range(len(t))])) for t in texts.values() if t]
     got = [r["perplexity"] for r in ngram.classify(docs, marks).collect()]
+    bounds = order_bounds(ngram._placed(docs), -(-30 // rows), 30, 4)
+    assert rows > 30 or ngram.pack_blocks(docs.where("doc_id IS NULL"), bounds).select("block").distinct().count() > 1
     assert len(got) == 30 and np.allclose(sorted(x for x in got if x is not None), sorted(want))
 
 

@@ -53,7 +53,8 @@ def brute_mix(rows):
     copies, upto = [0] * len(rows), Counter()
 
     def key(k):
-        text, u = rows[k][1] or "", hashlib.md5(f"17:{'' if rows[k][0] is None else rows[k][0]}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:13]
+        text = rows[k][1] or ""
+        u = hashlib.md5(f"17:{'' if rows[k][0] is None else rows[k][0]}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:13]
         quality = max(0.05, 1 - 4 * sum(map(text.count, "#*$%&|<>")) / len(text)) if text else 1.0
         return -math.log((int(u, 16) + 0.5) / 2**52) / quality
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, partitions
+from .common import cut, drop, partitions, release
 
 FEWEST = 64  # edges of a node that counts as a hub, at least
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _size(edges: DataFrame) -> tuple[int, int]:
+    """How many edges (u, v), u > v, there are, and how many nodes keep them from being stars around each
+    component's least node: those with an edge to a lesser node and any other edge."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return tuple(nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 0 AND n > 1"))).first())
 
 
 def hub_size(rows: int, spark: SparkSession) -> int:
@@ -19,41 +23,42 @@ def hub_size(rows: int, spark: SparkSession) -> int:
     return max(FEWEST, rows // (2 * partitions(spark)))
 
 
-def with_least(rows: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
-    """rows (u, v, others) with m, the least v of each u, and (u, m) alone. Nodes of more than `hub` rows
+def with_least(rows: DataFrame, hub: int) -> DataFrame:
+    """rows (u, v, others) with m, the least v of each u. Nodes of more than `hub` rows
     get m from a broadcast, which has as many rows as rows / hub at most; so their rows stay
-    where they are, and no task of the join for all others has a node with more than `hub`."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("_m")))
-    marked = rows.join(hubs, "u", "left")
-    rest = marked.where("_m IS NULL").drop("_m").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return marked.where("_m IS NOT NULL").withColumnRenamed("_m", "m").unionByName(rest), least.select("u", "m")
+    where they are, and no task of the window for all others has a node with more than `hub`.
+    rows stand in the plan three times, so they had better be a table."""
+    hubs = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") > hub)
+    hubs = F.broadcast(hubs.select("u", "m"))
+    rest = rows.join(hubs, "u", "left_anti").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return rows.join(hubs, "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an undirected edge list; component is the least
     node reachable. Null ends and self-loops name no edge; repeated edges count once.
 
-    Every step is a distinct, a min per node (combined before its shuffle) and one join on the
+    Every step is a count per node (combined before its shuffle) and one window by
     node, which the rows of hubs are left out of (:func:`with_least`): nodes with more than a
-    2 * partitions-th of the edges, so 4 * partitions of them at most. Nothing is collected but a
-    count and a checksum. Each round is written to the shared folder, so plans stay short.
+    2 * partitions-th of the edges, so 4 * partitions of them at most. Nothing is collected but two
+    counts, by which the last round ends that leaves stars only. Both steps of each round are
+    written to the shared folder and their plans let go, so the driver holds one short plan at a time.
     """
+    spark = edges.sparkSession
     hi, lo = F.greatest(a, b), F.least(a, b)
     start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(start.select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    while mark[0]:
+    size, open_ = _size(e)
+    while open_:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hub = hub_size(mark[0], e.sparkSession)
-        each, _ = with_least(both, hub)
-        large = each.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        each, least = with_least(large, hub)
-        small = each.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        was, mark = mark, _mark(new)
-        drop(e)
+        hub = hub_size(size, spark)
+        large = with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = cut(large, "large")
+        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        new = cut(with_least(large, hub).select(F.inline(pairs)).where("u <> v").distinct(), "edges")
+        drop(e, large)
         e = new
-        if was == mark:
-            break
+        del both, large, new
+        release(spark)
+        size, open_ = _size(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     member = cut(connected_components(links).withColumnRenamed("node", "rep").join(groups, "rep").select("rep", F.col("component").alias("u"), F.col("least").alias("v")), "members")
     release(spark)
 
-    component, _ = with_least(member, hub_size(member.count(), spark))
+    component = with_least(member, hub_size(member.count(), spark))
     sets = groups.select("d1", "d2", "least", "rep").join(component.select("rep", "m"), "rep", "left")
     sets = sets.select("d1", "d2", F.coalesce("m", "least").alias("own"))
     out = features.select("doc_id", "n_shingles", "d1", "d2", "text_hash").join(sets, ["d1", "d2"], "left")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitlattice.llm import components, crf, minhash, mixing, ngram, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc, winnowing
-from bitlattice.llm.common import order_bounds, read
+from bitlattice.llm.common import cut, order_bounds, read
 from bitlattice.llm.components import connected_components
 from bitlattice.llm.queries import ORACLE, QUERIES, tokenizer_path
 
@@ -163,6 +163,24 @@ def test_components(spark, monkeypatch, seed):
     assert got == {n: find(n) for n in root}
 
 
+def test_components_plans(spark, monkeypatch):
+    """The driver holds a short plan for each step, and stars are found in no round at all."""
+    shuffles = []
+
+    def noted(df, name):
+        shuffles.append(len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString())))
+        return cut(df, name)
+
+    monkeypatch.setattr(components, "cut", noted)
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["component"] for r in connected_components(path).collect()} == {0}
+    assert len(shuffles) > 1 and max(shuffles) <= 5
+    shuffles.clear()
+    stars = spark.createDataFrame([(k % 3, k) for k in range(3, 40)], "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(stars).collect()} == {k: k % 3 for k in range(40)}
+    assert len(shuffles) == 1
+
+
 # -- op2
 
 
